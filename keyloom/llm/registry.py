@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate
+from keyloom.llm import decontaminate, pieces
 
 QUERIES = {
+    "op5_sentencepiece": pieces.op5,
     "op8_decontaminate": decontaminate.op8,
 }
 ORACLES = {

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, pieces
+from keyloom.llm import decontaminate, licenses, pieces
 
 QUERIES = {
+    "op1_license_scan": licenses.op1,
     "op5_sentencepiece": pieces.op5,
     "op8_decontaminate": decontaminate.op8,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, licenses, pieces
+from keyloom.llm import decontaminate, licenses, pieces, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
+    "op3_toxicity": toxicity.op3,
     "op5_sentencepiece": pieces.op5,
     "op8_decontaminate": decontaminate.op8,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, licenses, pieces, toxicity
+from keyloom.llm import decontaminate, licenses, neardup, pieces, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
     "op3_toxicity": toxicity.op3,
     "op5_sentencepiece": pieces.op5,
     "op8_decontaminate": decontaminate.op8,
+    "op9_near_duplicates": neardup.op9,
 }
 ORACLES = {
     "op8_decontaminate": decontaminate.OP8_SQL,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, licenses, neardup, pieces, toxicity
+from keyloom.llm import chat, decontaminate, licenses, neardup, pieces, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
     "op3_toxicity": toxicity.op3,
+    "op4_chat_format": chat.op4,
     "op5_sentencepiece": pieces.op5,
     "op8_decontaminate": decontaminate.op8,
     "op9_near_duplicates": neardup.op9,
 }
 ORACLES = {
+    "op4_chat_format": chat.OP4_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }

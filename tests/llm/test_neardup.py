@@ -6,24 +6,20 @@ from keyloom.llm import neardup as N
 from keyloom.llm.common import words_of
 
 
-def similarity(a, b, weights):
-    from collections import Counter
-
-    sets = []
-    for t in (a, b):
-        w = words_of(t)
-        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
-        sets.append(Counter(grams))
-    weight = {}
-    for t in (a, b):
-        h, _, _ = N.shingles([t], N.WordHashes())
-        weight |= {x: weights[int(x % N.U(N.SKETCH_SIZE))] for x in h.tolist()}
-
-    def of(gram):
-        return float(weights[int(N.shingles([b" ".join(gram)], N.WordHashes())[0][0] % N.U(N.SKETCH_SIZE))])
-
-    shared = sum(min(sets[0][g], sets[1][g]) * of(g) for g in sets[0].keys() & sets[1].keys())
-    total = sum(n * of(g) for s in sets for g, n in s.items())
+def weighted(text, weights, seen):
+    words = words_of(text)
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+    out = {}
+    for g in grams:
+        if g not in seen:
+            seen[g] = float(weights[int(N.shingles([b" ".join(g)], N.WordHashes())[0][0] % N.U(N.SKETCH_SIZE))])
+        out[g] = out.get(g, 0.0) + seen[g]
+    return out
+
+
+def similarity(a, b):
+    shared = sum(min(a[g], b[g]) for g in a.keys() & b.keys())
+    total = sum(a.values()) + sum(b.values())
     return shared / (total - shared) if total > shared else 0.0
 
 
@@ -53,10 +49,11 @@ def test_classes_against_brute_force(spark, monkeypatch):
             i = parent[i]
         return i
 
-    full = [(i, t.encode()) for i, t, _ in rows if t]
-    for n, (i, a) in enumerate(full):
-        for j, b in full[:n]:
-            if a == b or (words_of(a) and similarity(a, b, weights) >= N.THRESHOLD):
+    seen = {}
+    full = [(i, t, weighted(t.encode(), weights, seen)) for i, t, _ in rows if t]
+    for n, (i, a, x) in enumerate(full):
+        for j, b, y in full[:n]:
+            if a == b or similarity(x, y) >= N.THRESHOLD:
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     want = {i: root(i) for i, *_ in rows}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.llm import chat, decontaminate, licenses, neardup, pieces, toxicity
+from keyloom.llm import chat, decontaminate, language, licenses, neardup, pieces, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
     "op3_toxicity": toxicity.op3,
     "op4_chat_format": chat.op4,
     "op5_sentencepiece": pieces.op5,
+    "op7_language_id": language.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_near_duplicates": neardup.op9,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import chat, decontaminate, language, licenses, neardup, pieces, toxicity
+from keyloom.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, toxicity
 
 QUERIES = {
+    "op10_nearest": neighbours.op10,
     "op1_license_scan": licenses.op1,
     "op3_toxicity": toxicity.op3,
     "op4_chat_format": chat.op4,

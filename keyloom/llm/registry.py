@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, toxicity
+from keyloom.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, pii, toxicity
 
 QUERIES = {
     "op10_nearest": neighbours.op10,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3,
     "op4_chat_format": chat.op4,
     "op5_sentencepiece": pieces.op5,
+    "op6_pii": pii.op6,
     "op7_language_id": language.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_near_duplicates": neardup.op9,

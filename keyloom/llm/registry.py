@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keyloom.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, pii, toxicity
+from keyloom.llm import chat, decontaminate, language, licenses, neardup, neighbours, pieces, pii, secrets, toxicity
 
 QUERIES = {
     "op10_nearest": neighbours.op10,
     "op1_license_scan": licenses.op1,
+    "op2_secrets": secrets.op2,
     "op3_toxicity": toxicity.op3,
     "op4_chat_format": chat.op4,
     "op5_sentencepiece": pieces.op5,

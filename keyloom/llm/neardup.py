@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import blocks, materialise, read_table, text_rows, words_of
@@ -317,21 +317,15 @@ def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """The documents, all columns as they are, without those of a class whose smallest doc_id is another row's.
 
     Of rows that repeat doc_id and text one stays; null and empty texts stay."""
-    found = classes(docs, threshold)
-    kept = found.where("key is not null and doc_id <=> class_id").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    names = docs.columns
-    marked = docs.withColumn("__key", F.when(F.length(F.col("text").cast("binary")) > 0, F.unhex(F.md5(F.col("text").cast("binary")))))
-    unique = marked.join(
-        kept.where("n = 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")),
-        "left_semi",
-    )
-    repeated = marked.join(
-        kept.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")),
-        "left_semi",
-    ).dropDuplicates(["doc_id", "__key"])
-    return unique.union(repeated).union(marked.where("__key is null")).select(*names)
+    kept = classes(docs, threshold).where("key is not null and doc_id <=> class_id")
+    row_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kept = kept.select(row_id("doc_id").alias("__id"), F.col("key").alias("__key")).distinct().withColumn("__kept", F.lit(True))
+    text = F.col("text").cast("binary")
+    marked = docs.withColumns(
+        {"__id": row_id("doc_id"), "__key": F.when(F.length(text) > 0, F.unhex(F.md5(text)))}
+    ).join(kept, ["__id", "__key"], "left")
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__kept"))  # the join has them together
+    return marked.withColumn("__n", first).where("__key is null or (__kept and __n = 1)").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

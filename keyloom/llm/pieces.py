@@ -282,7 +282,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces, digests: bool = False) ->
                 ]
                 names, kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
             else:
-                rows = [(np.array(i.split(), np.int32), t.decode()) for i, t in done]
+                rows = [(np.fromstring(i, np.int32, sep=" "), t.decode()) for i, t in done]
                 names, kinds = ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], names=["doc_id", *names])

@@ -1,10 +1,651 @@
-"""Named queries over the driver's tables and the SQL that states the same result."""
+"""Named queries over the driver's tables and the SQL that states the same result.
+
+Roles: events is an operation log (key user_id, seq event_id; event_type 'error' removes); customer and orders are
+snapshots; supplier, part and documents give values for scalar functions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keyloom.functions import bits, codecs, expiry, lists, sets, strings
+from keyloom.operators import info, lookup, merge, mutate, setops
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+NOW = "2024-01-15 00:00:00"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log of puts and removals."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"),
+        F.col("event_id").alias("seq"),
+        F.floor("value").cast("long").alias("value"),
+        F.col("event_type"),
+        (F.col("event_type") == "error").alias("deleted"),
+    )
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+
+
+def order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("value")
+    )
+
+
+LAST = "row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)"
+
+
+# --- merge ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "merge_latest",
+    f"SELECT user_id AS key, event_id AS seq, floor(value)::BIGINT AS value FROM (SELECT *, {LAST} AS r FROM events) "
+    "WHERE r = 1 AND event_type <> 'error'",
+)
+def merge_latest(spark, d):
+    return merge.snapshot(log(spark, d).select("key", "value", "seq", "deleted")).select("key", "seq", "value")
+
+
+@query(
+    "merge_tombstones_kept",
+    f"SELECT user_id AS key, event_type = 'error' AS deleted FROM (SELECT *, {LAST} AS r FROM events) WHERE r = 1",
+)
+def merge_tombstones_kept(spark, d):
+    return merge.newest(log(spark, d).select("key", "seq", "deleted")).select("key", "deleted")
+
+
+@query(
+    "merge_multi_run",
+    """SELECT key, value FROM (SELECT user_id AS key, floor(value)::BIGINT AS value,
+       row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id DESC) AS r FROM events) WHERE r = 1""",
+)
+def merge_multi_run(spark, d):
+    events = log(spark, d).select("key", "seq", "value")
+    runs = [events.where(F.col("seq") % 3 == k) for k in range(3)]
+    return merge.merge_runs(runs, seq="seq").select("key", "value")
+
+
+@query(
+    "compact_stale",
+    f"""SELECT user_id AS key, floor(value)::BIGINT AS value FROM (SELECT *, {LAST} AS r FROM events)
+        WHERE r = 1 AND event_type <> 'error' AND NOT (floor(value) < 20 OR user_id % 7 = 0)""",
+)
+def compact_stale(spark, d):
+    rows = log(spark, d).select("key", "value", "seq", "deleted")
+    return merge.compacted(rows, [F.col("value") < 20, F.col("key") % 7 == 0]).select("key", "value")
+
+
+# --- lookups and scans ------------------------------------------------------------------------------------------------
+
+
+@query("point_get", "SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey = 42")
+def point_get(spark, d):
+    return lookup.get(customers(spark, d), 42)
+
+
+REQUESTS = "SELECT o_orderkey AS seq, o_custkey * 2 AS key FROM orders"
+
+
+def requests(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 2).alias("key"))
+
+
+@query("multi_get", f"SELECT r.seq, r.key, c_name AS value FROM ({REQUESTS}) r LEFT JOIN customer ON key = c_custkey")
+def multi_get(spark, d):
+    return lookup.multi_get(requests(spark, d), customers(spark, d)).select("seq", "key", "value")
+
+
+@query("contains_flags", f"SELECT r.seq, r.key, c_custkey IS NOT NULL AS present FROM ({REQUESTS}) r LEFT JOIN customer ON key = c_custkey")
+def contains_flags(spark, d):
+    return lookup.contains(requests(spark, d), customers(spark, d)).select("seq", "key", "present")
+
+
+@query("exists_count", f"SELECT count(*)::BIGINT AS n FROM ({REQUESTS}) WHERE key IN (SELECT c_custkey FROM customer)")
+def exists_count(spark, d):
+    return lookup.exists_count(requests(spark, d), customers(spark, d))
+
+
+@query("key_scan", "SELECT c_custkey AS key FROM customer")
+def key_scan(spark, d):
+    return lookup.keys(customers(spark, d))
+
+
+@query("value_scan", "SELECT c_name AS value FROM customer")
+def value_scan(spark, d):
+    return lookup.values(lookup.scan(customers(spark, d)))
+
+
+def _range(name: str, low: int, high: int) -> None:
+    @query(name, f"SELECT o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderkey BETWEEN {low} AND {high}")
+    def run(spark, d):
+        orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+        return lookup.key_range(orders, low, high)
+
+
+_range("range_inclusive", 100, 900)
+_range("range_empty", 900, 100)
+_range("range_single", 32, 32)
+
+
+def names(spark, d):
+    return table(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
+
+
+@query("prefix_scan", "SELECT c_name AS key, c_custkey AS value FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_scan(spark, d):
+    return lookup.prefix(names(spark, d), "Customer#00000001")
+
+
+def _glob(name: str, pattern: str, theirs: str) -> None:
+    @query(name, f"SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_name GLOB '{theirs}'")
+    def run(spark, d):
+        return lookup.matching(names(spark, d), pattern)
+
+
+_glob("keys_glob", "Customer#*1?", "Customer#*1?")
+_glob("keys_glob_class", "C*[1-3]", "C*[1-3]")
+_glob("keys_glob_neg", "Customer#0*[^0-7]", "Customer#0*[!0-7]")
+
+
+@query("decode_projection", "SELECT c_custkey AS key, upper(c_name) AS value FROM customer")
+def decode_projection(spark, d):
+    raw = customers(spark, d).select(codecs.encode_integer(F.col("key"), "i64").alias("key"), codecs.encode_string(F.col("value")).alias("value"))
+    return lookup.decode(raw, codecs.decode_integer(F.col("key"), "i64"), F.upper(codecs.decode_string(F.col("value"))))
+
+
+# --- mutations --------------------------------------------------------------------------------------------------------
+
+LAST_ORDER = "SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS v FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1"
+SUBSET = "SELECT c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 5 > 0"
+
+
+def subset(spark, d):
+    c = table(spark, d, "customer").where(F.col("c_custkey") % 5 > 0)
+    return c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+
+
+def some_ops(spark, d):
+    return order_ops(spark, d).where(F.col("key") % 3 > 0)
+
+
+@query("set_value_upsert", f"SELECT coalesce(s.key, o.key) AS key, coalesce(o.v, s.value) AS value FROM ({SUBSET}) s FULL JOIN ({LAST_ORDER}) o ON s.key = o.key")
+def set_value_upsert(spark, d):
+    return mutate.upsert(subset(spark, d), some_ops(spark, d))
+
+
+@query("set_value_changed", f"SELECT o.key, o.v AS value FROM ({LAST_ORDER}) o LEFT JOIN ({SUBSET}) s ON s.key = o.key WHERE s.key IS NULL OR s.value IS DISTINCT FROM o.v")
+def set_value_changed(spark, d):
+    return mutate.changed(subset(spark, d), some_ops(spark, d))
+
+
+@query("try_add", f"SELECT o_custkey AS key, arg_min(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_custkey % 3 > 0 AND o_custkey NOT IN (SELECT key FROM ({SUBSET})) GROUP BY 1")
+def try_add(spark, d):
+    return mutate.try_add(subset(spark, d), some_ops(spark, d))
+
+
+@query(
+    "try_add_counts",
+    f"""WITH o AS (SELECT o_custkey AS key FROM orders WHERE o_custkey % 3 > 0), s AS ({SUBSET}),
+    a AS (SELECT count(DISTINCT key) AS n FROM o WHERE key NOT IN (SELECT key FROM s))
+    SELECT a.n::BIGINT AS n_added, ((SELECT count(*) FROM o) - a.n)::BIGINT AS n_existing FROM a""",
+)
+def try_add_counts(spark, d):
+    got = mutate.try_add_counts(subset(spark, d), some_ops(spark, d))
+    return got.select(F.col("n_added").cast("long").alias("n_added"), F.col("n_existing").cast("long").alias("n_existing"))
+
+
+@query(
+    "get_or_add",
+    f"""WITH s AS ({SUBSET}), o AS (SELECT o_orderkey AS seq, o_custkey AS key, o_orderstatus AS v FROM orders WHERE o_custkey % 3 > 0)
+    SELECT o.seq, o.key, CASE WHEN s.key IS NOT NULL THEN s.value ELSE first_value(o.v) OVER w END AS value,
+    s.key IS NULL AND row_number() OVER w = 1 AS added FROM o LEFT JOIN s USING (key) WINDOW w AS (PARTITION BY o.key ORDER BY o.seq)""",
+)
+def get_or_add(spark, d):
+    return mutate.get_or_add(subset(spark, d), some_ops(spark, d))
+
+
+GONE = "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_totalprice > 100000"
+
+
+def gone(spark, d):
+    return table(spark, d, "orders").where(F.col("o_totalprice") > 100000).select(F.col("o_custkey").alias("key"))
+
+
+@query("try_remove_keys", f"SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey NOT IN (SELECT key FROM ({GONE}))")
+def try_remove_keys(spark, d):
+    return mutate.remove(customers(spark, d), gone(spark, d))
+
+
+@query("try_remove_count", f"SELECT count(*)::BIGINT AS n_removed FROM customer WHERE c_custkey IN (SELECT key FROM ({GONE}))")
+def try_remove_count(spark, d):
+    return mutate.removed_count(customers(spark, d), gone(spark, d))
+
+
+@query(
+    "cas_update",
+    """SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'F' ELSE o_orderstatus END AS value,
+    o_orderstatus = 'O' AND o_orderkey % 2 = 0 AS updated FROM orders""",
+)
+def cas_update(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    ops = orders.where(F.col("key") % 2 == 0).select("key", F.lit("O").alias("expected"), F.lit("F").alias("value"))
+    return mutate.compare_and_set(orders, ops)
+
+
+@query(
+    "try_update_if",
+    """SELECT o_orderkey AS key, o_orderpriority LIKE '1%' AS updated,
+    CASE WHEN o_orderpriority LIKE '1%' THEN o_orderstatus || '!' ELSE o_orderstatus END AS value FROM orders""",
+)
+def try_update_if(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), "o_orderpriority")
+    done = mutate.try_update(orders, F.col("o_orderpriority").startswith("1"), F.concat("value", F.lit("!")))
+    return done.select("key", "updated", "value")
+
+
+@query(
+    "add_or_update_fold",
+    """WITH e AS (SELECT user_id AS key, event_id, event_type, floor(value)::BIGINT AS v,
+      max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS last_set,
+      min(event_id) OVER (PARTITION BY user_id) AS first_op FROM events)
+    SELECT key, (max(CASE WHEN event_id = coalesce(last_set, first_op) THEN CASE WHEN last_set IS NULL THEN 1 ELSE v END END)
+      + count(*) FILTER (event_id > coalesce(last_set, first_op)))::BIGINT AS value FROM e GROUP BY key""",
+)
+def add_or_update_fold(spark, d):
+    """signup sets the value, any other event adds one."""
+    ops = log(spark, d).select("key", "seq", "event_type", "value")
+    empty = spark.createDataFrame([], "key long, value long")
+    one = F.lit(1).cast("long")
+    return mutate.add_or_update(
+        empty,
+        ops,
+        lambda op: F.when(op["event_type"] == "signup", op["value"]).otherwise(one),
+        lambda old, op: F.when(op["event_type"] == "signup", op["value"]).otherwise(old + one),
+        "long",
+    )
+
+
+@query(
+    "getset_prev",
+    f"""WITH s AS ({SUBSET}), o AS (SELECT o_orderkey AS seq, o_custkey AS key, o_orderstatus AS v FROM orders)
+    SELECT o.seq, o.key, CASE WHEN row_number() OVER w = 1 THEN s.value ELSE lag(o.v) OVER w END AS previous
+    FROM o LEFT JOIN s USING (key) WINDOW w AS (PARTITION BY o.key ORDER BY o.seq)""",
+)
+def getset_prev(spark, d):
+    return mutate.get_set(subset(spark, d), order_ops(spark, d))
+
+
+@query("msetnx_gate", f"SELECT key + 10000000 AS key, value FROM ({SUBSET})")
+def msetnx_gate(spark, d):
+    """A batch of fresh keys goes in whole; one that holds a taken key not at all."""
+    have = subset(spark, d)
+    fresh = have.select((F.col("key") + 10_000_000).alias("key"), "value")
+    taken = fresh.union(have.limit(1))
+    return mutate.set_if_none_exists(have, fresh).union(mutate.set_if_none_exists(have, taken))
+
+
+@query(
+    "rename_keys",
+    f"""WITH s AS ({SUBSET}), n AS (SELECT key, key + 1 AS target FROM (SELECT range * 4 AS key FROM range(1, 200)))
+    SELECT key, value FROM s WHERE key NOT IN (SELECT key FROM n) AND key NOT IN (SELECT target FROM n)
+    UNION ALL SELECT target, value FROM s JOIN n USING (key)""",
+)
+def rename_keys(spark, d):
+    moves = spark.range(1, 200).select((F.col("id") * 4).alias("key"), (F.col("id") * 4 + 1).alias("target"))
+    return mutate.rename(subset(spark, d), moves)
+
+
+@query(
+    "set_value_expiry_modes",
+    """WITH e AS (SELECT user_id AS key, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1)
+    SELECT key, first_id AS value, NULL::BIGINT AS expires_us FROM e""",
+)
+def set_value_expiry_modes(spark, d):
+    """Every operation is SET NX, so the first one stays."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    ops = events.select(
+        "key", "seq", F.col("seq").alias("value"), F.lit("NX").alias("mode"), F.lit(None).cast("long").alias("ttl"), F.lit(False).alias("keep"), "at"
+    )
+    empty = spark.createDataFrame([], "key long, value long, expires_at timestamp")
+    return mutate.set_with_expiry(empty, ops).select("key", "value", F.unix_micros("expires_at").alias("expires_us"))
+
+
+@query(
+    "set_value_with_ttl",
+    """SELECT user_id AS key, max(event_id)::BIGINT AS value, epoch_us(arg_max(ts, event_id)) // 1000000 + 60 AS expires_s
+    FROM events GROUP BY 1""",
+)
+def set_value_with_ttl(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    ops = events.select(
+        "key", "seq", F.col("seq").alias("value"), F.lit(None).cast("string").alias("mode"), F.lit(60).cast("long").alias("ttl"), F.lit(False).alias("keep"), "at"
+    )
+    empty = spark.createDataFrame([], "key long, value long, expires_at timestamp")
+    return mutate.set_with_expiry(empty, ops).select("key", "value", F.unix_seconds("expires_at").alias("expires_s"))
+
+
+# --- set algebra ------------------------------------------------------------------------------------------------------
+
+A_SQL = "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 10 = 0"
+B_SQL = "SELECT c_custkey AS key FROM customer WHERE c_custkey % 2 = 0"
+
+
+def side_a(spark, d):
+    return table(spark, d, "orders").where(F.col("o_orderkey") % 10 == 0).select(F.col("o_custkey").alias("key"))
+
+
+def side_b(spark, d):
+    return table(spark, d, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("key"))
+
+
+def _algebra(name: str, op: Callable, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, d):
+        return op(side_a(spark, d), side_b(spark, d))
+
+
+_algebra("set_union", setops.union, f"{A_SQL} UNION {B_SQL}")
+_algebra("set_except", setops.subtract, f"{A_SQL} EXCEPT {B_SQL}")
+_algebra("set_intersect", setops.intersect, f"{A_SQL} INTERSECT {B_SQL}")
+_algebra("set_symdiff", setops.symmetric_difference, f"({A_SQL} EXCEPT {B_SQL}) UNION ({B_SQL} EXCEPT {A_SQL})")
+PREDICATES_SQL = """WITH a AS ({a}), b AS ({b}), n AS (SELECT
+  (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS x,
+  (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS y,
+  (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS z)
+SELECT x = 0 AS is_subset, y = 0 AS is_superset, x = 0 AND y > 0 AS is_proper_subset, y = 0 AND x > 0 AS is_proper_superset,
+  z > 0 AS overlaps, x = 0 AND y = 0 AS set_equals FROM n"""
+_algebra("set_predicates", setops.predicates, PREDICATES_SQL.format(a=A_SQL, b=B_SQL))
+
+
+@query("set_predicates_subset", PREDICATES_SQL.format(a=A_SQL, b="SELECT c_custkey AS key FROM customer"))
+def set_predicates_subset(spark, d):
+    return setops.predicates(side_a(spark, d), customers(spark, d).select("key"))
+
+
+@query("set_take_min", f"SELECT min(key) AS key FROM ({A_SQL})")
+def set_take_min(spark, d):
+    return setops.take_smallest(side_a(spark, d))[0]
+
+
+# --- counts and statistics --------------------------------------------------------------------------------------------
+
+
+@query("count_keys", "SELECT count(*)::BIGINT AS n FROM customer")
+def count_keys(spark, d):
+    return info.count(customers(spark, d))
+
+
+@query(
+    "info_stats",
+    """SELECT count(*)::BIGINT AS n, min(8)::BIGINT AS key_min, max(8)::BIGINT AS key_max, (8 * count(*))::BIGINT AS key_sum,
+    min(strlen(text))::BIGINT AS value_min, max(strlen(text))::BIGINT AS value_max, sum(strlen(text))::BIGINT AS value_sum,
+    count(*) FILTER (strlen(text) <= 9)::BIGINT AS n_inlined FROM documents""",
+)
+def info_stats(spark, d):
+    rows = table(spark, d, "documents").select(codecs.encode_integer(F.col("doc_id"), "i64").alias("key"), F.col("text").alias("value"))
+    return info.statistics(rows).drop("key_avg", "value_avg")
+
+
+# --- strings and integers ---------------------------------------------------------------------------------------------
+
+
+@query("strlen", "SELECT doc_id AS key, strlen(text)::BIGINT AS n FROM documents")
+def strlen(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), strings.strlen(F.col("text")).alias("n"))
+
+
+@query("append_fold", "SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS value FROM events GROUP BY 1")
+def append_fold(spark, d):
+    return log(spark, d).groupBy("key").agg(strings.append_all(F.col("seq"), F.col("event_type")).alias("value"))
+
+
+def _on_names(name: str, make: Callable, sql: str) -> None:
+    @query(name, f"SELECT s_suppkey AS key, {sql} AS value FROM supplier")
+    def run(spark, d):
+        raw = F.col("s_name").cast("binary")
+        return table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), make(raw).alias("value"))
+
+
+_on_names("getrange", lambda v: F.decode(strings.get_range(v, 2, 5), "UTF-8"), "substr(s_name, 3, 4)")
+_on_names("getrange_neg", lambda v: F.decode(strings.get_range(v, -4, -2), "UTF-8"), "substr(s_name, length(s_name) - 3, 3)")
+_on_names("getrange_clamped", lambda v: F.decode(strings.get_range(v, -999, 999), "UTF-8"), "s_name")
+_on_names("getrange_empty", lambda v: F.decode(strings.get_range(v, 5, 2), "UTF-8"), "''")
+_on_names("setrange", lambda v: F.hex(strings.set_range(v, 30, b"zz")), "hex(encode(s_name)) || repeat('00', 30 - strlen(s_name)::INT) || '7A7A'")
+_on_names("setrange_inside", lambda v: F.decode(strings.set_range(v, 1, b"XY"), "UTF-8"), "s_name[1] || 'XY' || substr(s_name, 4)")
+_on_names("setrange_neg", lambda v: F.decode(strings.set_range(v, -3, b"Q"), "UTF-8"), "substr(s_name, 1, length(s_name) - 3) || 'Q' || substr(s_name, length(s_name) - 1)")
+_on_names("getbit", lambda v: bits.get_bit(v, 10), "get_bit(encode(s_name)::BIT, 10)")
+_on_names("getbit_past", lambda v: bits.get_bit(v, 100000), "0")
+_on_names("setbit", lambda v: F.hex(bits.set_bit(v, 7, 1)), "hex(set_bit(encode(s_name)::BIT, 7, 1)::BLOB)")
+_on_names("setbit_zero", lambda v: F.hex(bits.set_bit(v, 1, 0)), "hex(set_bit(encode(s_name)::BIT, 1, 0)::BLOB)")
+_on_names("bitcount", lambda v: bits.bit_count(v), "bit_count(encode(s_name)::BIT)::BIGINT")
+_on_names("bitcount_range", lambda v: bits.bit_count(v, 1, -3), "bit_count(encode(substr(s_name, 2, length(s_name) - 3))::BIT)::BIGINT")
+
+
+@query("incrby_sum", "SELECT user_id AS key, sum(floor(value)::BIGINT)::BIGINT AS value FROM events GROUP BY 1")
+def incrby_sum(spark, d):
+    """A batch of INCRBY alone is a sum."""
+    return log(spark, d).groupBy("key").agg(strings.increment(F.sum("value"), F.lit(0).cast("long")).alias("value"))
+
+
+@query("incr_running", "SELECT event_id AS seq, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS reply FROM events")
+def incr_running(spark, d):
+    order = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return log(spark, d).select("seq", "key", F.sum(F.lit(1).cast("long")).over(order).alias("reply"))
+
+
+@query("parse_integer", "SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS value FROM events")
+def parse_integer(spark, d):
+    shown = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(strings.integer_text(F.col("event_id")))
+    return table(spark, d, "events").select(F.col("event_id").alias("key"), strings.parse_integer(shown).alias("value"))
+
+
+# --- expiry -----------------------------------------------------------------------------------------------------------
+
+
+def timed(spark, d):
+    """The last event of each user, with an expiry a day after it unless the user id is divisible by 4."""
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").cast("timestamp").alias("ts"))
+    day = expiry.expire_in(F.col("ts"), F.lit(86400))
+    return last.select("key", F.when(F.col("key") % 4 != 0, day).alias("expires_at"))
+
+
+TIMED = "SELECT user_id AS key, CASE WHEN user_id % 4 <> 0 THEN max(ts) + INTERVAL 1 DAY END AS expires_at FROM events GROUP BY 1"
+
+
+def now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+LEFT = f"epoch_us(expires_at) - epoch_us(TIMESTAMP '{NOW}')"
+
+
+@query("ttl_remaining", f"SELECT key, CASE WHEN expires_at IS NULL THEN -1 WHEN expires_at < TIMESTAMP '{NOW}' THEN -2 ELSE ({LEFT}) // 1000000 END::BIGINT AS ttl FROM ({TIMED})")
+def ttl_remaining(spark, d):
+    return timed(spark, d).select("key", expiry.remaining(F.col("expires_at"), now(), F.lit(True)).alias("ttl"))
+
+
+@query("pttl_remaining", f"SELECT key, CASE WHEN expires_at IS NULL THEN -1 WHEN expires_at < TIMESTAMP '{NOW}' THEN -2 ELSE ({LEFT}) // 1000 END::BIGINT AS ttl FROM ({TIMED})")
+def pttl_remaining(spark, d):
+    return timed(spark, d).select("key", expiry.remaining(F.col("expires_at"), now(), F.lit(True), "ms").alias("ttl"))
+
+
+@query("ttl_live", f"SELECT key FROM ({TIMED}) WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'")
+def ttl_live(spark, d):
+    return timed(spark, d).where(expiry.alive(F.col("expires_at"), now())).select("key")
+
+
+@query("expire_at", f"SELECT key, (1705276800 + (key % 100 - 50) * 3600 >= 1705276800)::INT AS reply FROM ({TIMED})")
+def expire_at(spark, d):
+    at = expiry.expire_at(F.lit(1705276800) + (F.col("key") % 100 - 50) * 3600)
+    return timed(spark, d).select("key", expiry.expire_reply(at, now(), F.lit(True)).alias("reply"))
+
+
+@query("persist", f"SELECT key, -1::BIGINT AS ttl, 1 AS reply FROM ({TIMED}) WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'")
+def persist(spark, d):
+    there = timed(spark, d).where(expiry.alive(F.col("expires_at"), now()))
+    cleared = there.select("key", F.lit(None).cast("timestamp").alias("expires_at"), F.lit(1).alias("reply"))
+    return cleared.select("key", expiry.remaining(F.col("expires_at"), now(), F.lit(True)).alias("ttl"), "reply")
+
+
+@query("time_parts", f"SELECT 1705276800::BIGINT AS seconds, 0::BIGINT AS micros")
+def time_parts(spark, d):
+    parts = expiry.clock(now())
+    return spark.range(1).select(parts[0].alias("seconds"), parts[1].cast("long").alias("micros"))
+
+
+# --- lists ------------------------------------------------------------------------------------------------------------
+
+LISTS = "SELECT user_id AS key, list(event_type ORDER BY event_id) AS l FROM events GROUP BY 1"
+
+
+def event_lists(spark, d):
+    return log(spark, d).groupBy("key").agg(lists.from_rows(F.col("seq"), F.col("event_type")).alias("l"))
+
+
+def _on_lists(name: str, make: Callable, sql: str) -> None:
+    @query(name, f"SELECT key, {sql} AS value FROM ({LISTS})")
+    def run(spark, d):
+        return event_lists(spark, d).select("key", make(F.col("l")).alias("value"))
+
+
+def shown(items):
+    return F.array_join(items, ",")
+
+
+_on_lists("list_build", shown, "array_to_string(l, ',')")
+_on_lists("list_rpush", lambda l: shown(lists.push_right(l, F.lit("y"), F.lit("z"))), "array_to_string(l || ['y', 'z'], ',')")
+_on_lists("list_lpush", lambda l: shown(lists.push_left(l, F.lit("y"), F.lit("z"))), "array_to_string(['z', 'y'] || l, ',')")
+_on_lists("lpop_n", lambda l: shown(lists.pop_left(l, 2)[0]), "array_to_string(l[1:2], ',')")
+_on_lists("lpop_rest", lambda l: shown(lists.pop_left(l, 2)[1]), "CASE WHEN len(l) > 2 THEN array_to_string(l[3:], ',') END")
+_on_lists("rpop_n", lambda l: shown(lists.pop_right(l, 2)[0]), "array_to_string(list_reverse(l[greatest(len(l) - 1, 1):]), ',')")
+_on_lists("rpop_rest", lambda l: shown(lists.pop_right(l, 2)[1]), "CASE WHEN len(l) > 2 THEN array_to_string(l[1:len(l) - 2], ',') END")
+_on_lists("llen", lambda l: lists.length(l).cast("long"), "len(l)::BIGINT")
+_on_lists("lindex", lambda l: lists.at(l, 2), "l[3]")
+_on_lists("lindex_neg", lambda l: lists.at(l, -2), "CASE WHEN len(l) >= 2 THEN l[len(l) - 1] END")
+_on_lists("lset", lambda l: shown(lists.put(l, 0, F.lit("zz"))), "array_to_string(['zz'] || l[2:], ',')")
+_on_lists("lrange", lambda l: shown(lists.cut(l, 1, 3)), "array_to_string(l[2:4], ',')")
+_on_lists("lrange_one", lambda l: shown(lists.cut(l, 0, 0)), "l[1]")
+_on_lists("lrange_neg", lambda l: shown(lists.cut(l, -3, -1)), "array_to_string(l[greatest(len(l) - 2, 1):], ',')")
+HITS = "list_filter(list_transform(l, lambda x, i: CASE WHEN x = 'click' THEN (i - 1)::BIGINT END), lambda y: y IS NOT NULL)"
+_on_lists("lpos_first", lambda l: lists.positions(l, F.lit("click")), f"({HITS})[1]")
+_on_lists("lpos_all", lambda l: F.array_join(lists.positions(l, F.lit("click"), count=0).cast("array<string>"), ","), f"array_to_string({HITS}, ',')")
+_on_lists("lpos_rank_neg", lambda l: F.array_join(lists.positions(l, F.lit("click"), rank=-2, count=2).cast("array<string>"), ","), f"array_to_string(list_reverse({HITS})[2:3], ',')")
+_on_lists("lpos_maxlen", lambda l: F.array_join(lists.positions(l, F.lit("click"), count=0, limit=5).cast("array<string>"), ","), f"array_to_string(list_filter({HITS}, lambda y: y < 5), ',')")
+
+# --- sets -------------------------------------------------------------------------------------------------------------
+
+MEMBERS = "SELECT DISTINCT user_id AS key, event_type AS member FROM events WHERE event_id % 3 = 0"
+NEW = "SELECT DISTINCT user_id AS key, event_type AS member FROM events WHERE event_id % 3 = 1"
+
+
+def members(spark, d):
+    return log(spark, d).where(F.col("seq") % 3 == 0).select("key", F.col("event_type").alias("member")).distinct()
+
+
+def new_members(spark, d):
+    return log(spark, d).where(F.col("seq") % 3 == 1).select("key", F.col("event_type").alias("member"))
+
+
+@query("sadd_counts", f"SELECT n.key, count(*) FILTER (m.key IS NULL)::BIGINT AS n_added FROM ({NEW}) n LEFT JOIN ({MEMBERS}) m USING (key, member) GROUP BY 1")
+def sadd_counts(spark, d):
+    return sets.add(members(spark, d), new_members(spark, d))[1]
+
+
+@query("sadd_result", f"{MEMBERS} UNION {NEW}")
+def sadd_result(spark, d):
+    return sets.add(members(spark, d), new_members(spark, d))[0]
+
+
+@query("srem_counts", f"SELECT n.key, count(m.key)::BIGINT AS n_removed FROM ({NEW}) n LEFT JOIN ({MEMBERS}) m USING (key, member) GROUP BY 1")
+def srem_counts(spark, d):
+    return sets.remove(members(spark, d), new_members(spark, d))[1]
+
+
+@query("srem_result", f"{MEMBERS} EXCEPT {NEW}")
+def srem_result(spark, d):
+    return sets.remove(members(spark, d), new_members(spark, d))[0]
+
+
+@query("scard", f"SELECT key, count(*)::BIGINT AS n FROM ({MEMBERS}) GROUP BY 1")
+def scard(spark, d):
+    return sets.cardinality(members(spark, d))
+
+
+@query("smembers", f"SELECT key, string_agg(member, ',' ORDER BY member) AS value FROM ({MEMBERS}) GROUP BY 1")
+def smembers(spark, d):
+    return members(spark, d).groupBy("key").agg(shown(sets.members_sorted(F.col("member"))).alias("value"))
+
+
+@query("smismember", f"SELECT n.key, n.member, (m.key IS NOT NULL)::INT AS is_member FROM ({NEW}) n LEFT JOIN ({MEMBERS}) m USING (key, member)")
+def smismember(spark, d):
+    return sets.is_member(new_members(spark, d).distinct(), members(spark, d))
+
+
+@query("srandmember_n", f"SELECT key, least(count(*), 2)::BIGINT AS n FROM ({MEMBERS}) GROUP BY 1")
+def srandmember_n(spark, d):
+    """The draw itself has no SQL; its sizes have."""
+    return sets.random_members(members(spark, d), 2, seed=7).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("spop_rest", f"SELECT key, (count(*) - 1)::BIGINT AS n FROM ({MEMBERS}) GROUP BY 1 HAVING count(*) > 1")
+def spop_rest(spark, d):
+    return sets.pop(members(spark, d), 1, seed=7)[1].groupBy("key").agg(F.count("*").alias("n"))
+
+
+# --- codecs -----------------------------------------------------------------------------------------------------------
+
+
+@query("codec_le_int", "SELECT s_suppkey AS key, printf('%02X000000', s_suppkey % 100 + 1) AS value FROM supplier")
+def codec_le_int(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.hex(codecs.encode_integer(F.col("s_suppkey") % 100 + 1, "i32")).alias("value"))
+
+
+@query("codec_roundtrip", "SELECT event_id AS key, -event_id AS number, event_type AS text, NULLIF(user_id % 5, 0) AS maybe, epoch_us(ts) AS us FROM events")
+def codec_roundtrip(spark, d):
+    e = table(spark, d, "events")
+    maybe = F.nullif(F.col("user_id") % 5, F.lit(0).cast("long"))
+    raw = e.select(
+        "event_id",
+        codecs.encode_integer(-F.col("event_id"), "i64").alias("number"),
+        codecs.encode_string(F.col("event_type")).alias("text"),
+        codecs.encode_nullable(maybe, codecs.encode_integer(maybe, "i32")).alias("maybe"),
+        codecs.encode_micros(F.col("ts").cast("timestamp")).alias("us"),
+    )
+    return raw.select(
+        F.col("event_id").alias("key"),
+        codecs.decode_integer(F.col("number"), "i64").alias("number"),
+        codecs.decode_string(F.col("text")).alias("text"),
+        codecs.decode_nullable(F.col("maybe"), lambda c: codecs.decode_integer(c, "i32")).alias("maybe"),
+        F.unix_micros(codecs.decode_micros(F.col("us"))).alias("us"),
+    )
+
+
+@query("json_value", "SELECT event_id AS key, (props::JSON->>'k')::BIGINT AS k FROM events")
+def json_value(spark, d):
+    raw = table(spark, d, "events").select("event_id", F.encode("props", "UTF-8").alias("raw"))
+    return raw.select(F.col("event_id").alias("key"), codecs.decode_json(F.col("raw"), "k long")["k"].alias("k"))

@@ -98,16 +98,18 @@ def decode_float(raw: Column, double: bool = True) -> Column:
 
 
 def encode_decimal(value: Column) -> Column:
-    """Sixteen bytes: 96 bits of digits in three words, then scale and sign; trailing zeros are kept."""
+    """Sixteen bytes: 96 bits of digits in three words, then scale and sign; trailing zeros are kept if they fit."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         def one(x: decimal.Decimal) -> bytes:
             sign, figures, exponent = x.as_tuple()
-            number = int("".join(map(str, figures))) * 10 ** max(0, exponent)
+            number, exponent = int("".join(map(str, figures))) * 10 ** max(0, exponent), min(0, exponent)
+            while number >= 1 << 96 and exponent and number % 10 == 0:  # zeros that only the column's scale adds
+                number, exponent = number // 10, exponent + 1
             if number >= 1 << 96 or -exponent > 28:
                 raise ValueError(f"{x} doesn't fit in 96 bits and 28 places")
-            flags = (max(0, -exponent) << 16) | (sign << 31)
+            flags = (-exponent << 16) | (sign << 31)
             return struct.pack("<IIII", number & 0xFFFFFFFF, number >> 32 & 0xFFFFFFFF, number >> 64, flags)
 
         return s.map(one, na_action="ignore")

@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import blocks, materialise, read_table, text_rows, words_of
@@ -26,16 +28,20 @@ from keyloom.llm.common import blocks, materialise, read_table, text_rows, words
 WINDOW = 8
 #: Bytes of text in a segment.
 SEGMENT_BYTES = 4 << 20
-#: Words of a test set at most: its windows go to every executor.
-MAX_TEST_WORDS = 2_000_000
+#: Words of the test items that one pass over the index asks for, as their windows go to every executor. A larger test set
+#: is asked in several passes over the same stored index.
+PASS_WORDS = 2_000_000
 #: Free positions between two documents of a segment; no phrase is longer, and proximity spans don't reach over it.
 GAP = 4096
 
 SEGMENT_SCHEMA = (
-    "doc_ids array<long>, text_md5 array<binary>, starts array<long>, n_words array<long>, terms array<binary>, "
+    "segment string, doc_ids array<long>, text_md5 array<binary>, starts array<long>, n_words array<long>, terms array<binary>, "
     "counts array<int>, postings binary"
 )
-DOC_SCHEMA = "doc_id long, text_md5 binary, n_words long, n_hit long, items array<string>"
+DOC_SCHEMA = (
+    "segment string, place int, doc_id long, text_md5 binary, n_words long, n_hit long, items array<string>, "
+    "hits array<struct<start: long, end: long>>"
+)
 
 
 def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
@@ -44,8 +50,8 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     names = sorted(known)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.get
-        for keys, texts in blocks(batches, SEGMENT_BYTES):
+        get, task = known.get, TaskContext.get()
+        for number, (keys, texts) in enumerate(blocks(batches, SEGMENT_BYTES)):
             starts, lengths, found, at = [], [], [], []
             base = 0
             for text in texts:
@@ -62,6 +68,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             own, counts = np.unique(ids, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([f"{task.partitionId() if task else 0}-{number}"]),
                     pa.array([keys], pa.list_(pa.int64())),
                     pa.array([[hashlib.md5(t or b"").digest() for t in texts]], pa.list_(pa.binary())),
                     pa.array([starts], pa.list_(pa.int64())),
@@ -70,7 +77,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
                     pa.array([counts.astype(np.int32).tolist()], pa.list_(pa.int32())),
                     pa.array([places[order].astype(np.int32 if base < 2**31 else np.int64).tobytes()], pa.binary()),
                 ],
-                names=["doc_ids", "text_md5", "starts", "n_words", "terms", "counts", "postings"],
+                names=["segment", "doc_ids", "text_md5", "starts", "n_words", "terms", "counts", "postings"],
             )
 
     return text_rows(docs).mapInArrow(segments, SEGMENT_SCHEMA)
@@ -158,19 +165,26 @@ def exact_matches(index: DataFrame, items: list[tuple[object, list[bytes]]], siz
                     hit[d].update(whose[asked[i]])
                 order = np.argsort(start, kind="stable")
                 start, end, doc = start[order], (start + sizes)[order], doc[order]
+                # occurrences that touch become one stretch; none reaches into another document
                 reach = np.maximum.accumulate(end) if len(end) else end
-                before = np.concatenate([[0], reach[:-1]]) if len(end) else end
-                fresh = np.maximum(0, end - np.maximum(start, before))  # words that no earlier occurrence covers
-                n_hit = np.bincount(doc, fresh, len(segment.doc_ids)).astype(np.int64)
+                fresh = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(end) else end
+                first, last, of = start[fresh], np.append(reach[fresh[1:] - 1], reach[-1:]), doc[fresh]
+                stretches: list[list[dict]] = [[] for _ in segment.doc_ids]
+                for d, x, y in zip(of.tolist(), (first - segment.starts[of]).tolist(), (last - segment.starts[of]).tolist(), strict=True):
+                    stretches[d].append({"start": x, "end": y})
+                n = len(segment.doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([row["segment"]] * n, pa.string()),
+                        pa.array(range(n), pa.int32()),
                         pa.array(segment.doc_ids, pa.int64()),
                         pa.array(row["text_md5"], pa.binary()),
                         pa.array(segment.n_words),
-                        pa.array(n_hit),
+                        pa.array(np.bincount(of, last - first, n).astype(np.int64)),
                         pa.array([sorted(x) for x in hit], pa.list_(pa.string())),
+                        pa.array(stretches, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    names=["doc_id", "text_md5", "n_words", "n_hit", "items"],
+                    names=["segment", "place", "doc_id", "text_md5", "n_words", "n_hit", "items", "hits"],
                 )
 
     return index.mapInArrow(answer, DOC_SCHEMA)
@@ -205,23 +219,45 @@ def proximity_matches(index: DataFrame, items: list[tuple[object, list[bytes]]],
     return index.mapInArrow(answer, "doc_id long, item_id string, start long, end long")
 
 
-def test_items(benchmark: DataFrame) -> list[tuple[object, list[bytes]]]:
-    """The items with their words. A test set is small and fixed beside a corpus; over MAX_TEST_WORDS words it is refused."""
-    items, size = [], 0
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The answers of several passes as one row per document: items and hit stretches together."""
+    if len(parts) == 1:
+        return parts[0]
+    flat = lambda c: F.flatten(F.collect_list(c))
+    both = reduce(DataFrame.union, parts).groupBy("segment", "place").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "text_md5", "n_words")),
+        F.array_sort(F.array_distinct(flat("items"))).alias("items"),
+        F.array_sort(flat("hits")).alias("hits"),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        more = F.greatest(hit["end"] - F.greatest(hit["start"], acc["reach"]), F.lit(0))
+        return F.struct((acc["n"] + more).alias("n"), F.greatest(acc["reach"], hit["end"]).alias("reach"))
+
+    return both.withColumn("n_hit", F.aggregate("hits", start, step, lambda acc: acc["n"])).select(*parts[0].columns)
+
+
+def test_items(benchmark: DataFrame, limit: int) -> list[list[tuple[object, list[bytes]]]]:
+    """The items with their words, in passes of about limit words."""
+    passes: list[list] = [[]]
+    size = 0
     for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
         words = words_of(bytes(row["text"]) if row["text"] is not None else None)
+        if passes[-1] and size + len(words) > limit:
+            passes.append([])
+            size = 0
+        passes[-1].append((row["item_id"], words))
         size += len(words)
-        if size > MAX_TEST_WORDS:
-            raise ValueError(f"the test set has over {MAX_TEST_WORDS} words; split it and decontaminate in turn")
-        items.append((row["item_id"], words))
-    return items
+    return passes
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items: array of the item ids with a window in the document, sorted as strings."""
-    items = test_items(benchmark)
-    index = materialise(build_index(docs, [w for _, words in items for w in words]))
-    return exact_matches(index, items, size)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+    """doc_id, text_md5, n_words, n_hit, items: the item ids with a window in the document, sorted as strings."""
+    passes = test_items(benchmark, pass_words)
+    index = materialise(build_index(docs, [w for items in passes for _, words in items for w in words]))
+    found = united([exact_matches(index, items, size) for items in passes])
+    return found.select("doc_id", "text_md5", "n_words", "n_hit", "items", "hits")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, size: int = WINDOW) -> DataFrame:

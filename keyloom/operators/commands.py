@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.glob import glob_regex
+from keyloom.sources.shared import materialise
 
 BARRIERS = 64
 KEYSPACE = "key binary, kind string, items array<binary>, expires_ms long"
@@ -310,7 +311,7 @@ def _epoch(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFra
     parts = parts.select(
         "seq", "part", "at_ms", "cmd", F.coalesce(F.get("own", F.lit(0)), F.lit(b"")).alias("key"), F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))).alias("args")
     )
-    done = _materialise(_per_key(keyspace, parts))
+    done = materialise(_per_key(keyspace, parts))
     each = done.where("seq is not null").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("part", "reply"))).alias("r"))
     texts = F.transform("r", lambda x: x["reply"])
     total = F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + x.try_cast("long"))
@@ -323,15 +324,6 @@ def _epoch(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFra
     return done.where("seq is null").select("key", "kind", "items", "expires_ms"), replies
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-"))
-    return df.checkpoint()
-
-
 def _together(keyspace: DataFrame, seq: int, now: int, cmd: str, args: list[bytes]) -> tuple[DataFrame, object]:
     there = keyspace.where(F.col("expires_ms").isNull() | (F.col("expires_ms") >= now))
     holds = lambda keys: F.col("key").isin([bytes(k) for k in keys])

@@ -6,13 +6,19 @@ snapshots; supplier, part and documents give values for scalar functions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.functions import bits, codecs, expiry, lists, sets, strings
-from keyloom.operators import info, lookup, merge, mutate, setops
+from keyloom.operators import commands, info, lookup, merge, mutate, setops
+from keyloom.sources import dump
+from keyloom.sources.shared import shared_dir
+from keyloom.sources.store import Store, tablespaces
+from keyloom.streaming import upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -649,3 +655,186 @@ def codec_roundtrip(spark, d):
 def json_value(spark, d):
     raw = table(spark, d, "events").select("event_id", F.encode("props", "UTF-8").alias("raw"))
     return raw.select(F.col("event_id").alias("key"), codecs.decode_json(F.col("raw"), "k long")["k"].alias("k"))
+
+
+# --- stores, dumps and streams ----------------------------------------------------------------------------------------
+
+KINDS = {"key": T.LongType(), "value": T.StringType()}
+NAMES_SQL = "SELECT c_custkey AS key, c_name AS value FROM customer"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "store_reopen",
+    """SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS value FROM customer
+    WHERE c_custkey % 3 > 0""",
+)
+def store_reopen(spark, d):
+    """Put, overwrite a half, remove a third, close and open again."""
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, "create", **KINDS) as s:
+        s.put(rows)
+        s.put(rows.where("key % 2 = 0").withColumn("value", F.upper("value")))
+        s.remove(rows.where("key % 3 = 0").select("key"))
+    return Store(spark, root, "readonly").snapshot()
+
+
+@query("store_compacted", f"{NAMES_SQL} WHERE c_custkey % 3 > 0 AND c_custkey % 7 > 0")
+def store_compacted(spark, d):
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, "create", **KINDS) as s:
+        s.put(rows)
+        s.remove(rows.where("key % 3 = 0").select("key"))
+        s.register_stale(F.col("key") % 7 == 0)
+        s.compact()
+        s.vacuum()
+        return s.snapshot()
+
+
+@query("store_range_scan", f"{NAMES_SQL} WHERE c_custkey BETWEEN 100 AND 300")
+def store_range_scan(spark, d):
+    """On a compacted store the range reaches the files' statistics."""
+    root = scratch(spark, "store")
+    with Store(spark, root, "create", **KINDS) as s:
+        s.put(customers(spark, d))
+        s.compact()
+        return lookup.key_range(s.snapshot(), 100, 300)
+
+
+@query("store_levels", "SELECT * FROM (VALUES ('base', 1::BIGINT), ('delta', 2::BIGINT)) t(kind, n)")
+def store_levels(spark, d):
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, "create", **KINDS) as s:
+        s.put(rows)
+        s.compact()
+        s.put(rows.where("key < 10"))
+        s.put(rows.where("key < 20"))
+        return s.levels().groupBy(F.split("part", "-")[0].alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("tablespace_isolation", f"SELECT 'even' AS space, * FROM ({NAMES_SQL}) WHERE key % 2 = 0 UNION ALL SELECT 'odd', * FROM ({NAMES_SQL}) WHERE key % 2 = 1")
+def tablespace_isolation(spark, d):
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    for k, name in enumerate(("even", "odd")):
+        with Store(spark, root, tablespace=name, **KINDS) as s:
+            s.put(rows.where(F.col("key") % 2 == k))
+    parts = [Store(spark, root, "readonly", tablespace=x).snapshot().select(F.lit(x).alias("space"), "key", "value") for x in tablespaces(spark, root)]
+    return parts[0].union(parts[1])
+
+
+@query("store_clear", f"{NAMES_SQL} WHERE c_custkey < 5")
+def store_clear(spark, d):
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, **KINDS) as s:
+        s.put(rows)
+        s.clear()
+        s.put(rows.where("key < 5"))
+        return s.snapshot()
+
+
+@query("store_copy", NAMES_SQL)
+def store_copy(spark, d):
+    """What the target has besides stays."""
+    rows = customers(spark, d)
+    with Store(spark, scratch(spark, "a"), **KINDS) as a, Store(spark, scratch(spark, "b"), **KINDS) as b:
+        a.put(rows.where("key % 2 = 0"))
+        b.put(rows.where("key % 2 = 1"))
+        return a.copy_to(b).snapshot()
+
+
+@query("store_try_add", "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 1)::BIGINT AS n_added, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0)::BIGINT AS n_existing")
+def store_try_add(spark, d):
+    rows = customers(spark, d)
+    with Store(spark, scratch(spark, "store"), **KINDS) as s:
+        s.put(rows.where("key % 2 = 0"))
+        got = s.try_add(rows.withColumn("seq", F.col("key")))
+        return spark.createDataFrame([got], "n_added long, n_existing long")
+
+
+@query("pack_roundtrip", NAMES_SQL)
+def pack_roundtrip(spark, d):
+    pack = scratch(spark, "pack")
+    with Store(spark, scratch(spark, "store"), **KINDS) as s:
+        s.put(customers(spark, d))
+        s.pack(pack)
+    return Store(spark, pack, "packed").snapshot()
+
+
+@query("dump_restore", NAMES_SQL)
+def dump_restore(spark, d):
+    path = f"{scratch(spark, 'dump')}.kvdump"
+    raw = customers(spark, d).select(codecs.encode_integer(F.col("key"), "i64").alias("key"), codecs.encode_string(F.col("value")).alias("value"))
+    dump.dump(raw, path)
+    back = mutate.first_ops(dump.restore(spark, path))
+    return back.select(codecs.decode_integer(F.col("key"), "i64").alias("key"), codecs.decode_string(F.col("value")).alias("value"))
+
+
+def streamed(spark, d):
+    """events as a stream of operations, a file at a time."""
+    path = scratch(spark, "ops")
+    log(spark, d).select("seq", "key", "value", "deleted").repartitionByRange(3, "seq").write.parquet(path)
+    return spark.readStream.schema("seq long, key long, value long, deleted boolean").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_upsert", ORACLES["merge_latest"].replace("user_id AS key, event_id AS seq,", "user_id AS key,"))
+def stream_upsert(spark, d):
+    """Micro-batches committed to a store; the files come in any order, so each batch is put by its largest seq."""
+    ops = streamed(spark, d)
+    target = scratch(spark, "latest")
+    q = upserts.running_snapshot(ops).writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "cp"))
+    q.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).where(~F.col("deleted")).select("key", "value")
+
+
+@query("stream_rmw", "SELECT user_id AS key, max(n)::BIGINT AS value FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1")
+def stream_rmw(spark, d):
+    """A counter of each key's operations, kept in the stream's state."""
+    target = scratch(spark, "rmw")
+    q = upserts.read_modify_write(streamed(spark, d), lambda old, row: (old or 0) + 1).writeStream.outputMode("append")
+    q.format("parquet").option("path", target).option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).groupBy("key").agg(F.max("reply").alias("value"))
+
+
+# --- command batches --------------------------------------------------------------------------------------------------
+
+
+def event_commands(spark, d, cmd: str, *args) -> DataFrame:
+    return log(spark, d).select(
+        "seq", F.lit(0).cast("long").alias("at_ms"), F.lit(cmd).alias("cmd"), F.array(*(a.cast("string").cast("binary") for a in args)).alias("args")
+    )
+
+
+def no_keys(spark) -> DataFrame:
+    return spark.createDataFrame([], commands.KEYSPACE)
+
+
+@query("commands_incr", "SELECT event_id AS seq, (count(*) OVER (PARTITION BY user_id ORDER BY event_id))::VARCHAR AS reply FROM events")
+def commands_incr(spark, d):
+    return commands.run_commands(no_keys(spark), event_commands(spark, d, "INCR", F.col("key")))[1]
+
+
+@query("commands_rpush", "SELECT user_id::VARCHAR AS key, 'list' AS kind, string_agg(event_type, ',' ORDER BY event_id) AS value FROM events GROUP BY user_id")
+def commands_rpush(spark, d):
+    after = commands.run_commands(no_keys(spark), event_commands(spark, d, "RPUSH", F.col("key"), F.col("event_type")))[0]
+    return after.select(F.decode("key", "UTF-8").alias("key"), "kind", shown(F.transform("items", lambda x: F.decode(x, "UTF-8"))).alias("value"))
+
+
+@query("commands_sadd_scard", "SELECT user_id::VARCHAR AS key, count(DISTINCT event_type)::BIGINT AS n FROM events GROUP BY user_id")
+def commands_sadd_scard(spark, d):
+    after = commands.run_commands(no_keys(spark), event_commands(spark, d, "SADD", F.col("key"), F.col("event_type")))[0]
+    return after.select(F.decode("key", "UTF-8").alias("key"), F.size("items").cast("long").alias("n"))
+
+
+@query("commands_setbit_bitcount", "SELECT user_id::VARCHAR AS key, count(DISTINCT event_id % 97)::BIGINT AS n FROM events GROUP BY user_id")
+def commands_setbit_bitcount(spark, d):
+    after = commands.run_commands(no_keys(spark), event_commands(spark, d, "SETBIT", F.col("key"), F.col("seq") % 97, F.lit(1)))[0]
+    return after.select(F.decode("key", "UTF-8").alias("key"), bits.bit_count(F.element_at("items", 1)).alias("n"))
+
+
+@query("commands_set_nx", "SELECT event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN '\"OK\"' ELSE 'null' END AS reply FROM events")
+def commands_set_nx(spark, d):
+    ops = event_commands(spark, d, "SET", F.col("key"), F.col("event_type"), F.lit("NX"))
+    return commands.run_commands(no_keys(spark), ops)[1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import json
 import struct
 import uuid
 
@@ -146,3 +147,88 @@ def decode_guid(raw: Column) -> Column:
         return s.map(lambda x: str(uuid.UUID(bytes_le=bytes(x))), na_action="ignore")
 
     return run(raw)
+
+
+# Ticks are 100 ns, counted from year 1; types of keys and values.
+TICKS_PER_MICRO, EPOCH_MICROS = 10, 62_135_596_800_000_000
+KEY_KINDS = {"normal": 0, "list_node": 1, "set_node": 2, "set_sentinel": 3}
+
+
+def encode_char(value: Column) -> Column:
+    """One character as a 16-bit unit."""
+    return encode_integer(F.ascii(value), "char")
+
+
+def decode_char(raw: Column) -> Column:
+    return F.decode(F.unhex(F.concat(F.substring(F.hex(raw), 3, 2), F.substring(F.hex(raw), 1, 2))), "UTF-16BE")
+
+
+def encode_datetime(value: Column, utc: bool = True) -> Column:
+    """A timestamp as ticks, with the two high bits saying what it is: 1 for UTC, 0 for unspecified."""
+    ticks = (F.unix_micros(value) + F.lit(EPOCH_MICROS)) * F.lit(TICKS_PER_MICRO)
+    return encode_integer(ticks.bitwiseOR(F.lit(1 << 62 if utc else 0)), "i64")
+
+
+def decode_datetime(raw: Column) -> Column:
+    """Parts of a microsecond are lost."""
+    ticks = decode_integer(raw, "i64").bitwiseAND(F.lit((1 << 62) - 1))
+    return F.timestamp_micros(_micros(ticks) - F.lit(EPOCH_MICROS))
+
+
+def _micros(ticks: Column) -> Column:
+    """Whole microseconds; the exact quotient, as doubles can't hold so many ticks."""
+    return F.call_function("div", ticks - F.pmod(ticks, F.lit(TICKS_PER_MICRO)), F.lit(TICKS_PER_MICRO).cast("long"))
+
+
+def encode_timespan(micros: Column) -> Column:
+    return encode_integer(micros * F.lit(TICKS_PER_MICRO), "i64")
+
+
+def decode_timespan(raw: Column) -> Column:
+    return _micros(decode_integer(raw, "i64"))
+
+
+def encode_key(key: Column, kind: str = "normal") -> Column:
+    """A key of a keyspace: a byte for its kind, then its bytes."""
+    return F.concat(F.lit(bytes([KEY_KINDS[kind]])), key.cast("binary"))
+
+
+def decode_key(raw: Column) -> Column:
+    """struct<kind: int, key: binary>"""
+    kind = F.conv(F.hex(F.substring(raw, 1, 1)), 16, 10).cast("int")
+    return F.struct(kind.alias("kind"), F.substring(raw, 2, 2**31 - 1).alias("key"))
+
+
+def encode_value(kind: Column, payload: Column, expires_ticks: Column) -> Column:
+    """A value of a keyspace: a byte for its type, the expiry as ticks (-1 never), then the payload."""
+    expiry = encode_integer(F.coalesce(expires_ticks, F.lit(-1).cast("long")), "i64")
+    return F.concat(encode_integer(kind, "u8"), expiry, payload)
+
+
+def decode_value(raw: Column) -> Column:
+    """struct<kind: int, expires_ticks: long, payload: binary>"""
+    kind = F.conv(F.hex(F.substring(raw, 1, 1)), 16, 10).cast("int")
+    ticks = decode_integer(F.substring(raw, 2, 8), "i64")
+    return F.struct(kind.alias("kind"), F.when(ticks != -1, ticks).alias("expires_ticks"), F.substring(raw, 10, 2**31 - 1).alias("payload"))
+
+
+def encode_msgpack(value: Column) -> Column:
+    """A struct, map or array, taken through JSON, as MessagePack."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        from keyloom.functions import msgpack
+
+        return s.map(lambda x: msgpack.packed(json.loads(x)), na_action="ignore")
+
+    return run(F.to_json(value))
+
+
+def decode_msgpack(raw: Column, schema: T.DataType | str) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        from keyloom.functions import msgpack
+
+        return s.map(lambda x: json.dumps(msgpack.unpacked(bytes(x))), na_action="ignore")
+
+    return F.from_json(run(raw), schema)

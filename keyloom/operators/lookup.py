@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def values(snapshot: DataFrame, name: str = VALUE) -> DataFrame:
     return snapshot.select(name)
 
 
-def scan(snapshot: DataFrame, name: str = KEY) -> DataFrame:
-    """All rows in key order."""
-    return snapshot.orderBy(name)
+def scan(snapshot: DataFrame, name: str = KEY, order: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+    """All rows in key order; order makes the sort key of another comparer."""
+    return snapshot.orderBy(order(F.col(name)))
 
 
 def key_range(snapshot: DataFrame, low: object, high: object, name: str = KEY) -> DataFrame:

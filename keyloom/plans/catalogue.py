@@ -657,6 +657,38 @@ def json_value(spark, d):
     return raw.select(F.col("event_id").alias("key"), codecs.decode_json(F.col("raw"), "k long")["k"].alias("k"))
 
 
+@query("codec_datetime", "SELECT event_id AS key, epoch_us(ts) AS us, (event_id * 7)::BIGINT AS span, event_type[1] AS c FROM events")
+def codec_datetime(spark, d):
+    e = table(spark, d, "events")
+    raw = e.select("event_id", codecs.encode_datetime(F.col("ts").cast("timestamp")).alias("at"), codecs.encode_timespan(F.col("event_id") * 7).alias("span"), codecs.encode_char(F.col("event_type")).alias("c"))
+    at = F.unix_micros(codecs.decode_datetime(F.col("at")))
+    return raw.select(F.col("event_id").alias("key"), at.alias("us"), codecs.decode_timespan(F.col("span")).alias("span"), codecs.decode_char(F.col("c")).alias("c"))
+
+
+@query("codec_keyspace", "SELECT event_id AS key, 0 AS kind, event_type AS name, (user_id % 3)::INT AS type, CASE WHEN event_id % 2 = 0 THEN event_id END AS expires FROM events")
+def codec_keyspace(spark, d):
+    e = table(spark, d, "events")
+    expires = F.when(F.col("event_id") % 2 == 0, F.col("event_id"))
+    raw = e.select("event_id", codecs.encode_key(F.col("event_type")).alias("k"), codecs.encode_value(F.col("user_id") % 3, F.encode("props", "UTF-8"), expires).alias("v"))
+    back = raw.select("event_id", codecs.decode_key(F.col("k")).alias("k"), codecs.decode_value(F.col("v")).alias("v"))
+    return back.select(F.col("event_id").alias("key"), "k.kind", F.decode("k.key", "UTF-8").alias("name"), F.col("v.kind").alias("type"), F.col("v.expires_ticks").alias("expires"))
+
+
+@query("codec_msgpack", "SELECT event_id AS key, event_id * 1000 AS n, event_type AS t FROM events")
+def codec_msgpack(spark, d):
+    e = table(spark, d, "events")
+    raw = e.select("event_id", codecs.encode_msgpack(F.struct((F.col("event_id") * 1000).alias("n"), F.array("event_type").alias("t"))).alias("raw"))
+    back = codecs.decode_msgpack(F.col("raw"), "n long, t array<string>")
+    return raw.select(F.col("event_id").alias("key"), back["n"].alias("n"), back["t"][0].alias("t"))
+
+
+@query("scan_custom_order", "SELECT c_custkey AS key, row_number() OVER (ORDER BY reverse(c_custkey::VARCHAR)) AS place FROM customer QUALIFY place <= 10")
+def scan_custom_order(spark, d):
+    """The first ten keys under another comparer."""
+    first = lookup.scan(customers(spark, d), order=lambda k: F.reverse(k.cast("string"))).limit(10)
+    return first.select("key", F.row_number().over(Window.orderBy(F.reverse(F.col("key").cast("string")))).cast("long").alias("place"))
+
+
 # --- stores, dumps and streams ----------------------------------------------------------------------------------------
 
 KINDS = {"key": T.LongType(), "value": T.StringType()}

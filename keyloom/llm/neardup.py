@@ -4,7 +4,7 @@
    noise are taken off, so only shingles that stand out of the collisions lose weight. A shingle weighs its occurrences
    times 1 + log((N + 1) / (df + 1)) / log(N + 1), between once and twice its occurrences.
 2. Equal texts become one node, by md5. Each text gets BANDS x ROWS consistent weighted samples; a band's samples make
-   its bucket.
+   its bucket, in each of the GROUPINGS of samples to bands.
 3. Nodes of a bucket are linked to its smallest node; connected components of these links are candidate groups.
 4. Every pair inside a candidate group is compared by exact weighted Jaccard similarity through the group's own inverted
    lists. A group with more than TILE nodes or TILE_BYTES of text is cut to tiles and each pair of tiles is a task of its
@@ -32,7 +32,9 @@ from keyloom.llm.common import blocks, materialise, read_table, text_rows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 4
+#: Each sample is in GROUPINGS bands, with other samples each time: a pair that one grouping misses the other finds, at no
+#: more samples. A pair at the threshold is missed by one grouping in about 0.2 % of cases, by both in about 0.001 %.
+BANDS, ROWS, GROUPINGS = 12, 4, 2
 SKETCH_SIZE = 1 << 20
 TILE, TILE_BYTES = 2048, 24 << 20
 #: Word hashes that a worker remembers.
@@ -152,8 +154,10 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             bands: list = [None] * len(texts)
             if len(some):
                 weight = count.astype(np.float32) * weights[(h % U(SKETCH_SIZE)).astype(np.int64)]
-                drawn = samples(h, weight, np.append(bounds[some], bounds[-1]), BANDS * ROWS).reshape(len(some), BANDS, ROWS)
-                bucket = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(some), 0)
+                drawn = samples(h, weight, np.append(bounds[some], bounds[-1]), BANDS * ROWS)
+                across = drawn.reshape(len(some), ROWS, BANDS).transpose(0, 2, 1)
+                drawn = np.concatenate([drawn.reshape(len(some), BANDS, ROWS), across], 1)
+                bucket = np.repeat(np.arange(BANDS * GROUPINGS, dtype=np.uint64)[None], len(some), 0)
                 for k in range(ROWS):
                     bucket = mixed(bucket ^ drawn[:, :, k])
                 for i, b in zip(some.tolist(), bucket.view(np.int64), strict=True):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import materialise, shared_dir
+
+__all__ = ["as_binary", "blocks", "materialise", "read_table", "shared_dir", "text_rows", "words_of"]
+
 #: Bytes of text that one block of vectorised work holds; a longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -27,23 +30,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where it is unset (tests, one machine) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-"))
-    return context.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder: lost executors cost no recomputation of what is before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def as_binary(column: str) -> F.Column:
     return F.col(column).cast("binary").alias(column)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, neardup, pieces, pii, toxicity
 from keyloom.llm.common import read_table, shared_dir
+from keyloom.sources.files import Files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = Files(spark, folder)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            files.delete(f"{k - 1}-{STAGES[k - 1][0]}")  # the stage after it is written
     return docs

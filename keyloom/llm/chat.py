@@ -9,7 +9,7 @@ text is ever evaluated as code. The language:
     expr: 'string' | name | expr + expr | expr == expr | expr != expr | expr and expr | expr or expr | not expr
           | (expr) | expr | filter
 
-Names: role, text, index, first, last. Filters: escape, upper, lower, title, trim. The template is rendered per turn,
+Names: role, text, index (the turn's number), first (whether that is 0). Filters: escape, upper, lower, title, trim. The template is rendered per turn,
 so a conversation of any length is a stream of turns.
 
 escape puts a backslash before every backslash and before every control string of the template, so no text can make one
@@ -48,7 +48,7 @@ ROLES = {"Assistant": "assistant", "User": "user"}
 TOKEN = re.compile(r"\s*(?:'((?:[^'\\]|\\.)*)'|([A-Za-z_]+)|(==|!=|[+()|]))")
 PART = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
 FILTERS: dict[str, Callable] = {"upper": str.upper, "lower": str.lower, "title": str.title, "trim": str.strip}
-NAMES = ("role", "text", "index", "first", "last")
+NAMES = ("role", "text", "index", "first")
 
 
 class TemplateError(ValueError):
@@ -265,7 +265,7 @@ class ChatFormat:
     def __init__(self, template: str = TEMPLATE, controls: tuple[str, ...] = CONTROLS, roles: dict[str, str] | None = None):
         self.tree = parse(template)
         self.roles = ROLES if roles is None else roles
-        self._special = re.compile("|".join(re.escape(c) for c in ("\\", *sorted(controls, key=len, reverse=True), *())))
+        self._special = re.compile("|".join(re.escape(c) for c in ("\\", *sorted(controls, key=len, reverse=True))))
         self._names = set(self.roles)
         self._render = renderer(self.tree, self.escape)
 
@@ -318,7 +318,7 @@ def format_turns(conversations: DataFrame, chat: ChatFormat) -> DataFrame:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             done = [
-                chat.render({"role": r, "text": t, "index": n, "first": n == 0, "last": False})
+                chat.render({"role": r, "text": t, "index": n, "first": n == 0})
                 for _, n, r, t in zip(*columns, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(

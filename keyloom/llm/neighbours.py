@@ -7,7 +7,7 @@ are also added backwards and pruned again. Shard, vectors and graph are stored i
 blocks; each block is searched by beam in each shard, and the shards' best are merged. Scores are exact cosines of the
 original vectors in double precision.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of other
+Defined cases: rows without a vec_id and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of other
 lengths are searched apart; repeated rows are candidates of their own, a query leaves out one row of its own id and
 vector; ties go to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives no rows.
 """

@@ -8,7 +8,7 @@ CHAT = C.ChatFormat()
 
 
 def turn(role, text):
-    return {"role": role, "text": text, "index": 0, "first": True, "last": False}
+    return {"role": role, "text": text, "index": 0, "first": True}
 
 
 def test_round_trip_of_hostile_texts():

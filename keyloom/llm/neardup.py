@@ -13,8 +13,9 @@
 5. Components of the links are the classes; the class id is the smallest doc_id.
 
 Defined cases: null and empty texts are alone, each row a class of its own doc_id; equal wordless texts are one class; a
-text of one to four words has one shingle of all its words; equal rows are in one class; an empty table gives no rows;
-only doc_id and text are read (without_duplicates keeps every column).
+text of one to four words has one shingle of all its words; equal rows are in one class; rows of one doc_id
+but other texts are nodes of their own, though their classes may be named alike; an empty table gives no rows; only doc_id
+and text are read (without_duplicates keeps every column).
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import blocks, materialise, read_table, text_rows, words_of
+from keyloom.llm.common import WORD_TABLE, blocks, materialise, read_table, text_rows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,8 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS, GROUPINGS = 12, 4, 2
 SKETCH_SIZE = 1 << 20
 TILE, TILE_BYTES = 2048, 24 << 20
-#: Word hashes that a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of text in a block of vectorised work; its arrays stay in a core's cache.
+BLOCK = 1 << 18
 
 U = np.uint64
 MIX = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
@@ -52,19 +52,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(texts: list[bytes | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, occurrences, bounds): the distinct shingles of each text, ascending; text i has bounds[i]:bounds[i + 1]."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+BYTE = mixed(np.arange(256, dtype=np.uint64))
+BYTE[32] = 0
+POWER = np.cumprod(np.full(64, 0x9FB21C651E98DF25, np.uint64))
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text): a polynomial over a word's bytes, mixed."""
+    global POWER
+    parts = [(t or b"").translate(WORD_TABLE) for t in texts]
+    blob = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    inside = blob != 32
+    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    texts_end = np.cumsum([len(p) + 1 for p in parts])
+    sizes = np.diff(np.searchsorted(starts, texts_end), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), sizes
+    span = np.diff(np.append(starts, len(blob)))
+    if span.max() > len(POWER):
+        POWER = np.cumprod(np.full(2 * int(span.max()), POWER[0], np.uint64))
+    place = np.arange(starts[0], len(blob)) - np.repeat(starts, span)
+    return mixed(np.add.reduceat(BYTE[blob[starts[0] :]] * POWER[place], starts - starts[0])), sizes
+
+
+def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, occurrences, bounds): the distinct shingles of each text; text i has bounds[i]:bounds[i + 1]."""
+    flat, sizes = word_hashes(texts)
     begins = np.cumsum(sizes) - sizes
     per = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
     owner = np.repeat(np.arange(len(texts)), per)
@@ -72,9 +85,11 @@ def shingles(texts: list[bytes | None], known: WordHashes) -> tuple[np.ndarray,
     left = np.repeat(np.minimum(sizes, SHINGLE), per)
     h = np.zeros(len(start), np.uint64)
     padded = np.append(flat, np.zeros(SHINGLE, np.uint64))
+    whole = len(left) == 0 or int(left.min()) == SHINGLE
     for k in range(SHINGLE):
-        h = mixed(h ^ np.where(k < left, padded[start + k], U(0)))
-    order = np.lexsort((h, owner))
+        word = padded[start + k]
+        h = mixed(h ^ (word if whole else np.where(k < left, word, U(0))))
+    order = _by_text(owner, h)
     h, owner = h[order], owner[order]
     fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, np.int64)
     count = np.diff(np.append(fresh, len(h)))
@@ -82,6 +97,17 @@ def shingles(texts: list[bytes | None], known: WordHashes) -> tuple[np.ndarray,
     return h, count, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def _by_text(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """An order in which each text's equal hashes stand together. One sort of a combined key does it, unless two hashes of
+    a text agree in the key's part but not in the rest: then both keys are sorted."""
+    if len(owner) and int(owner[-1]) < 1 << 20:
+        order = np.argsort((owner.astype(np.uint64) << U(44)) | (h >> U(20)))
+        a, b = h[order[:-1]], h[order[1:]]
+        if not ((a != b) & (a >> U(20) == b >> U(20)) & (owner[order[:-1]] == owner[order[1:]])).any():
+            return order
+    return np.lexsort((h, owner))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, text: key is the md5 of the text, or null for a null or empty text."""
     text = F.col("text").cast("binary")
@@ -96,9 +122,9 @@ def sketch_weights(docs: DataFrame) -> np.ndarray:
     """Weight of an occurrence by the shingle's place in the sketch; a table of SKETCH_SIZE numbers whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known, n = np.zeros(SKETCH_SIZE, np.int64), WordHashes(), 0
-        for _, texts in blocks(batches):
-            h, _, _ = shingles(texts, known)
+        total, n = np.zeros(SKETCH_SIZE, np.int64), 0
+        for _, texts in blocks(batches, BLOCK):
+            h, _, _ = shingles(texts)
             total += np.bincount((h % U(SKETCH_SIZE)).astype(np.int64), minlength=SKETCH_SIZE)
             n += len(texts)
         at = np.flatnonzero(total)
@@ -126,19 +152,41 @@ def samples(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray, n: int) -> np
     index = np.arange(len(h), dtype=np.int64)
     tiny, scale = np.float32(2.0**-33), np.float32(2.0**-32)
     out = np.empty((len(begins), n), np.uint64)
+
+    def gamma(bits: np.ndarray) -> np.ndarray:
+        """Gamma(2, 1) from 64 random bits, which it uses up."""
+        pair = bits.view(np.uint32).reshape(-1, 2)
+        u, v = pair[:, 0].astype(np.float32), pair[:, 1].astype(np.float32)
+        u *= scale
+        u += tiny
+        v *= scale
+        v += tiny
+        u *= v
+        return np.negative(np.log(u, out=u), out=u)
+
     for k in range(n):
         x = mixed(h + U((k + 1) * int(MIX[1]) % 2**64))
-        y = mixed(x)
-        z = y * MIX[2]
-        unit = lambda v: v.astype(np.uint32).astype(np.float32) * scale + tiny
-        r = -np.log(unit(x >> U(32)) * unit(x))  # Gamma(2, 1)
-        c = -np.log(unit(y >> U(32)) * unit(y))
-        beta = (z >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-        level = np.floor(log_w / r + beta)
-        log_a = np.log(c) - r * (level - beta + np.float32(1))
-        bits = log_a.view(np.int32).astype(np.int64)
-        ordered = np.where(bits < 0, (-1 - (bits & 0x7FFFFFFF)), bits)  # as floats order
-        least = np.minimum.reduceat(ordered * (1 << 31) + index, begins) & ((1 << 31) - 1)
+        y = x * MIX[0]
+        y ^= y >> U(29)
+        y *= MIX[2]
+        y ^= y >> U(32)
+        r, c = gamma(x), gamma(y)
+        y *= MIX[1]
+        beta = (y >> U(40)).astype(np.float32)
+        beta *= np.float32(2.0**-24)
+        level = log_w / r
+        level += beta
+        np.floor(level, out=level)
+        beta -= level
+        beta -= np.float32(1)
+        beta *= r
+        log_a = np.log(c, out=c)
+        log_a += beta  # log c - r (level - beta + 1)
+        bits = log_a.view(np.int32)
+        ordered = np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits).astype(np.int64)  # as floats order
+        ordered <<= 31
+        ordered += index
+        least = np.minimum.reduceat(ordered, begins) & ((1 << 31) - 1)
         out[:, k] = mixed(h[least] ^ mixed(level[least].astype(np.int64).view(np.uint64)))
     return out
 
@@ -147,9 +195,8 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, key, bands: a hash for each band, or null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for ids, texts in blocks(batches, 1 << 20):
-            h, count, bounds = shingles(texts, known)
+        for ids, texts in blocks(batches, BLOCK):
+            h, count, bounds = shingles(texts)
             some = np.flatnonzero(np.diff(bounds))
             bands: list = [None] * len(texts)
             if len(some):
@@ -196,9 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(found)
 
 
-def linked(texts: list[bytes], weights: np.ndarray, known: WordHashes, threshold: float) -> list[tuple[int, int]]:
+def linked(texts: list[bytes], weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of texts whose exact weighted Jaccard similarity reaches the threshold."""
-    h, count, bounds = shingles(texts, known)
+    h, count, bounds = shingles(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     # A shingle that occurs n times becomes n elements (shingle, 1..n) of its weight: shared weight is then the minimum.
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -249,13 +296,12 @@ def verified(groups: DataFrame, weights: np.ndarray, threshold: float) -> DataFr
     """(a, b): links of the tasks. groups: task, key, text, all rows of a task together in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         task, keys, texts = None, [], []
 
         def close() -> pa.RecordBatch:
             seen = {k: t for k, t in zip(keys, texts, strict=True)}
             names = sorted(seen)
-            forest = linked([seen[k] for k in names], weights, known, threshold) if len(names) > 1 else []
+            forest = linked([seen[k] for k in names], weights, threshold) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([names[p[x]] for p in forest], pa.binary()) for x in (0, 1)], names=["a", "b"]
             )

@@ -12,7 +12,7 @@ def weighted(text, weights, seen):
     out = {}
     for g in grams:
         if g not in seen:
-            seen[g] = float(weights[int(N.shingles([b" ".join(g)], N.WordHashes())[0][0] % N.U(N.SKETCH_SIZE))])
+            seen[g] = float(weights[int(N.shingles([b" ".join(g)])[0][0] % N.U(N.SKETCH_SIZE))])
         out[g] = out.get(g, 0.0) + seen[g]
     return out
 
@@ -54,8 +54,8 @@ def test_classes_against_brute_force(spark, monkeypatch):
     for n, (i, a, x) in enumerate(full):
         for j, b, y in full[:n]:
             if a == b or similarity(x, y) >= N.THRESHOLD:
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
     want = {i: root(i) for i, *_ in rows}
     got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
     assert got == want
@@ -86,3 +86,14 @@ def test_components(spark):
     edges = [(b"%03d" % (i + 1), b"%03d" % i) for i in range(1, 60)] + [(b"100", b"101"), (b"102", b"101"), (b"200", b"200")]
     got = {bytes(r.node): bytes(r.root) for r in N.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert set(got.values()) == {b"001", b"100"} and len(got) == 63
+
+
+def test_word_hashes_and_order():
+    texts = [b"", None, b"!!", b"The  cat, the CAT", b"x" * 500 + b" the", "é e".encode()]
+    h, sizes = N.word_hashes(texts)
+    assert sizes.tolist() == [0, 0, 0, 4, 2, 2] and h[0] == h[2] == h[5] and h[1] == h[3] and len(set(h.tolist())) == 5
+    alone = np.concatenate([N.word_hashes([t])[0] for t in texts])
+    assert (alone == h).all()
+    same = np.array([5, 7, 5 + 2**19, 5], np.uint64)  # two hashes that agree in the key's part
+    order = N._by_text(np.zeros(4, np.int64), same)
+    assert same[order].tolist() == sorted(same.tolist())

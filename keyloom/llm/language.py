@@ -30,7 +30,6 @@ from keyloom.llm.common import as_binary, blocks, read_table, text_rows
 ROWS_PER_LANGUAGE = 800
 MAX_CONTEXTS = 16_384
 ORDER = 3
-SALTS = 32
 #: Symbols: a space, 26 letters, 128 other bytes.
 SIZE = 155
 SYMBOL = bytes(
@@ -153,16 +152,16 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Trees:
     """Trees from rows whose crc32 of the id, mod 3, isn't 1."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), as_binary("text"))
-    # first inside SALTS parts of each language, then among what is left: a language of most rows is no hot key
-    part = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    training = known.select("doc_id", "lang").where(
+        "lang is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"
+    )
+    # The smallest hashes of a language lie below twice their share, so the ranking sees about 2 * rows of it, not all.
+    sizes = training.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    near = training.join(F.broadcast(sizes), "lang").where(place < (F.lit(2.0 * rows) + F.lit(64.0)) / F.col("n"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        known.select("doc_id", "lang")
-        .where("lang is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
-        .withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-        .withColumn("k", F.row_number().over(part))
-        .where(F.col("k") <= rows)
-        .withColumn("k", F.row_number().over(first))
+        near.withColumn("k", F.row_number().over(first))
         .where(F.col("k") <= rows)
         .groupBy("doc_id", "lang")
         .agg(F.count("*"))

@@ -380,6 +380,7 @@ def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (its documents)."""
-    found = classes(read_table(spark, sf_dir, "documents"))
-    size = found.groupBy("class_id").agg(F.count("*").alias("n_class"))
+    found = materialise(classes(read_table(spark, sf_dir, "documents")))
+    # stored, so both sides of the join are plain shuffles and a class of many rows can be split
+    size = materialise(found.groupBy("class_id").agg(F.count("*").alias("n_class")))
     return found.join(size, "class_id").select("doc_id", "class_id", "n_class")

@@ -7,16 +7,25 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.model import DELETED, KEY, SEQ
 
 
+#: Types whose aggregation buffers a hash table holds in place; others make Spark sort before it aggregates.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def newest(log: DataFrame, key: str = KEY, seq: str = SEQ) -> DataFrame:
-    """The operation with the largest seq of each key.
+    """The operation with the largest seq of each key; seq is unique inside a key.
 
     An aggregate, not a window: it combines before the shuffle, so a key with many operations sends one row per task.
+    Columns of fixed width are taken one by one, which keeps the whole aggregation in a hash table.
     """
     others = [c for c in log.columns if c not in (key, seq)]
+    if all(isinstance(log.schema[c].dataType, FIXED_WIDTH) for c in others):
+        best = log.groupBy(key).agg(*(F.max_by(c, seq).alias(c) for c in others), F.max(seq).alias(seq))
+        return best.select(key, *others, seq)
     best = log.groupBy(key).agg(F.max_by(F.struct(*others, seq), seq).alias("__row"))
     return best.select(key, *(F.col(f"__row.{c}").alias(c) for c in [*others, seq]))
 

@@ -16,20 +16,25 @@ from keyloom.model import KEY, SEQ, VALUE
 
 def upsert(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
     """The last operation of a key wins over the snapshot."""
-    last = ops.groupBy(KEY).agg(F.max_by(F.struct(VALUE), SEQ).alias("__new"))
-    merged = snapshot.join(last, KEY, "full_outer")
-    return merged.select(KEY, F.when(F.col("__new").isNotNull(), F.col(f"__new.{VALUE}")).otherwise(F.col(VALUE)).alias(VALUE))
+    merged = snapshot.join(last_ops(ops).withColumnRenamed(VALUE, "__new"), KEY, "full_outer")
+    return merged.select(KEY, F.when(F.col("__at").isNotNull(), F.col("__new")).otherwise(F.col(VALUE)).alias(VALUE))
 
 
 def changed(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
     """Only the last operations that change a stored value or add a key; equal values write nothing."""
-    last = ops.groupBy(KEY).agg(F.max_by(F.struct(VALUE), SEQ).alias("__new")).select(KEY, F.col(f"__new.{VALUE}").alias("__v"))
+    last = last_ops(ops).select(KEY, F.col(VALUE).alias("__v"))
     old = snapshot.select(KEY, F.struct(VALUE).alias("__old"))
     return last.join(old, KEY, "left").where("__old is null or not (__v <=> __old.value)").select(KEY, F.col("__v").alias(VALUE))
 
 
 def first_ops(ops: DataFrame) -> DataFrame:
-    return ops.groupBy(KEY).agg(F.min_by(F.struct(VALUE), SEQ).alias("__v")).select(KEY, F.col(f"__v.{VALUE}").alias(VALUE))
+    """key, value of the first operation of each key; a null value is one too."""
+    return ops.groupBy(KEY).agg(F.min_by(VALUE, SEQ).alias(VALUE))
+
+
+def last_ops(ops: DataFrame) -> DataFrame:
+    """key, value of the last operation of each key, and its seq as __at."""
+    return ops.groupBy(KEY).agg(F.max_by(VALUE, SEQ).alias(VALUE), F.max(SEQ).alias("__at"))
 
 
 def try_add(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
@@ -48,13 +53,13 @@ def try_add_counts(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
 
 def get_or_add(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
     """seq, key, value that each operation gets, added: whether it inserted."""
-    first = ops.groupBy(KEY).agg(F.min_by(F.struct(VALUE), SEQ).alias("__f"), F.min(SEQ).alias("__s"))
+    first = ops.groupBy(KEY).agg(F.min_by(VALUE, SEQ).alias("__f"), F.min(SEQ).alias("__s"))
     old = snapshot.select(KEY, F.struct(VALUE).alias("__old"))
     found = ops.select(SEQ, KEY).join(first, KEY).join(old, KEY, "left")
     return found.select(
         SEQ,
         KEY,
-        F.when(F.col("__old").isNotNull(), F.col(f"__old.{VALUE}")).otherwise(F.col(f"__f.{VALUE}")).alias(VALUE),
+        F.when(F.col("__old").isNotNull(), F.col(f"__old.{VALUE}")).otherwise(F.col("__f")).alias(VALUE),
         (F.col("__old").isNull() & (F.col(SEQ) == F.col("__s"))).alias("added"),
     )
 

@@ -30,7 +30,7 @@ REPLIES = "seq long, reply string"
 MAX_VALUE, MAX_BIT = 512 << 20, 536_870_912
 
 MANY = {"mget", "mset", "del", "unlink", "exists"}
-TOGETHER = {"rename", "renamenx", "msetnx", "keys", "dbsize", "flushall", "flushdb", "info", "save", "bgsave", "lastsave", "time", "echo", "ping"}
+TOGETHER = {"rename", "renamenx", "msetnx", "keys", "dbsize", "flushall", "flushdb", "info", "save", "bgsave", "bgrewriteaof", "lastsave", "time", "echo", "ping"}
 
 
 class CommandError(Exception):
@@ -286,6 +286,8 @@ def _per_key(keyspace: DataFrame, commands: DataFrame) -> DataFrame:
                     v = Value(r["cmd"], r["args"], r["at_ms"])
                     continue
                 try:
+                    if r["key"] is None:
+                        raise CommandError("wrong number of arguments")
                     reply = run_one(v, r["cmd"], list(r["args"]), r["at_ms"], r["seq"])
                 except (CommandError, IndexError) as e:
                     reply = {"error": str(e) if isinstance(e, CommandError) else "wrong number of arguments"}
@@ -307,16 +309,17 @@ def _epoch(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFra
         F.col("cmd") == "mset",
         F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(args) / 2) - 1, F.lit(0)).cast("int")), lambda i: F.slice(args, 2 * i + 1, 2)),
     ).when(F.col("cmd").isin(*MANY), F.transform(args, lambda a: F.array(a))).otherwise(F.array(args))
-    parts = commands.select("seq", "at_ms", "cmd", F.posexplode(apart).alias("part", "own"))
+    parts = commands.select("seq", "at_ms", "cmd", F.posexplode_outer(apart).alias("part", "own"))
     parts = parts.select(
-        "seq", "part", "at_ms", "cmd", F.coalesce(F.get("own", F.lit(0)), F.lit(b"")).alias("key"), F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))).alias("args")
+        "seq", F.coalesce("part", F.lit(0)).alias("part"), "at_ms", "cmd", F.get("own", F.lit(0)).alias("key"), F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))).alias("args")
     )
     done = materialise(_per_key(keyspace, parts))
     each = done.where("seq is not null").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("part", "reply"))).alias("r"))
     texts = F.transform("r", lambda x: x["reply"])
     total = F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + x.try_cast("long"))
     reply = (
-        F.when(F.col("cmd") == "mget", F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")))
+        F.when(F.col("cmd").isin(*MANY) & F.startswith(F.element_at(texts, 1), F.lit('{"error"')), F.element_at(texts, 1))
+        .when(F.col("cmd") == "mget", F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")))
         .when(F.col("cmd").isin("del", "unlink", "exists"), total.cast("string"))
         .otherwise(F.element_at(texts, 1))
     )
@@ -331,7 +334,7 @@ def _together(keyspace: DataFrame, seq: int, now: int, cmd: str, args: list[byte
         return there, there.count()
     if cmd in ("flushall", "flushdb"):
         return there.limit(0), "OK"
-    if cmd in ("save", "bgsave"):
+    if cmd in ("save", "bgsave", "bgrewriteaof"):
         return there, "OK"
     if cmd == "lastsave":
         return there, now // 1000

@@ -72,3 +72,10 @@ def test_commands_over_keys(spark):
     assert got[:14] == ["OK", ["test2"], ["a0", "a1"], 0, 1, 1, 0, "OK", "OK", [None, None, "2", "9"], 3, "PONG", "hi", [0, 0]]
     assert "error" in got[14] and got[15:] == ["OK", 0, "OK"]
     assert [(bytes(r.key), r.kind) for r in after.collect()] == [(b"x", "string")]
+
+
+def test_odd_commands(spark):
+    _, got = play(spark, ("BGREWRITEAOF",), ("NOSUCH", "k"), ("GET",), ("DEL",), ("INFO",), ("LASTSAVE",))
+    assert got[0] == "OK" and all("error" in got[i] for i in (1, 2, 3)) and "keys=0" in got[4] and got[5] == 0
+    after, got = play(spark, ("PING", "x"))
+    assert got == ["x"] and after.isEmpty()

@@ -20,6 +20,7 @@ and text are read (without_duplicates keeps every column).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -221,6 +222,13 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark's cleaner remove shuffles and checkpoints of rounds that nothing refers to; else they stay on disk until
+    the driver's heap happens to fill."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component of edges (a, b). Alternating large and small stars; each
     round is checkpointed to the shared folder, and nothing but two numbers comes to the driver."""
@@ -235,6 +243,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         current = materialise(small.where("a <> b").distinct())
+        del both, least, large, joined, small
+        release(current)
         found = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == tuple(found):
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
@@ -330,6 +340,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
     star = buckets.join(shared, "bucket").where("key <> b").select(F.col("key").alias("a"), "b")
     groups = materialise(components(star))
+    release(groups)
     text = keyed(docs).where("key is not null")
     wanted = groups.join(nodes.select(F.col("key").alias("node"), "first"), "node")
     members = text.join(wanted, (text["doc_id"].eqNullSafe(wanted["first"])) & (text["key"] == wanted["node"])).select("key", "text", "root")

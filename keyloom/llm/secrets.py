@@ -5,7 +5,7 @@ letters, digits and a few signs with at least a letter and a digit, fall in a ch
 characters slides over a candidate; when a character enters or leaves, its count in the window changes by one and the sum
 of count * log2(count) by the difference, so the Shannon entropy of each window follows from the last one. A candidate
 whose highest window reaches the bound of its class is a span, unless an allow list suppresses it or a known form already
-covers a part of it.
+covers a part of it. Windows that reach into a long word are left out; those before and after it count.
 
 Kinds: assign, access, hex (known forms), entropy.
 
@@ -32,7 +32,9 @@ CLASSES = (
     ("base64", r"\A[0-9A-Za-z+/=_-]+\z", 3.8),
 )
 # What a harmless candidate holds, and what harmless digests are announced by.
-ALLOWED = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|0{8}|12345678|abcdef0123|deadbeef|lorem|[a-z]{14}"
+ALLOWED = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|0{8}|12345678|abcdef0123|deadbeef|lorem"
+# Letters of one case that can be words: no five consonants in a row. They only take themselves out of a candidate.
+WORD = r"(?:(?![b-df-hj-np-tv-xz]{5})[a-z]){14,}+|(?:(?![B-DF-HJ-NP-TV-XZ]{5})[A-Z]){14,}+"
 ALLOWED_BEFORE = r"(?:sha-?[0-9]+|md5|commit|checksum|digest|integrity|uuid|etag|rev(?:ision)?)\W*\z"
 
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
@@ -80,7 +82,8 @@ def suspicious(span: Column) -> Column:
     for _, form, bits in reversed(CLASSES):
         bound = F.when(F.rlike(m, F.lit(form)), F.lit(bits)).otherwise(bound)
     allowed = F.rlike(m, F.lit(ALLOWED)) | F.rlike(span["before"], F.lit(ALLOWED_BEFORE))
-    return F.when(allowed, F.lit(False)).otherwise(highest_entropy(m) >= bound)
+    parts = F.filter(F.split(m, WORD, -1), lambda x: F.length(x) >= WINDOW)
+    return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, lambda x: highest_entropy(x) >= bound))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,19 @@ def test_entropy_spans_and_allow_list(spark):
     rows = [(1, f"é key {key}."), (2, f"sha256: {key}"), (3, "EXAMPLE" + key), (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1"), (5, f"token={key}")]
     got = {r.doc_id: r.entropy for r in X.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(s.start, s.end) for s in got[1]] == [(6, 6 + len(key))] and not any(got[i] for i in (2, 3, 4, 5))
+
+
+def test_random_keys_are_not_words(spark):
+    rng = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pools = {"base62": low + low.upper() + digits, "base64": low + low.upper() + digits + "+/", "lower": low + digits, "upper": low.upper() + digits}
+    draw = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    rows = [(f"{p}{n}", draw(pool, n)) for p, pool in pools.items() for n in (40, 64) for _ in range(400)]
+    rows += [("named", "authentication=" + draw(pools["base62"], 40)) for _ in range(400)]
+    rows += [("word", f"internationalization{i}") for i in range(400)] + [("word", "AUTHENTICATIONTOKEN1")]
+    span = F.struct(F.col("s").alias("match"), F.lit("").alias("before"))
+    got = spark.createDataFrame(rows, "kind string, s string").groupBy("kind").agg(F.avg(X.suspicious(span).cast("int")).alias("found")).collect()
+    found = {r.kind: r.found for r in got}
+    assert found.pop("word") == 0 and len(found) == 9
+    assert all(x >= 0.95 for x in found.values()), found
+    assert all(x >= 0.99 for k, x in found.items() if k.startswith("base") or k == "named"), found

@@ -14,6 +14,7 @@ QUERIES = {
     "op6_pii": pii.op6,
     "op7_language_id": language.op7,
     "op8_decontaminate": decontaminate.op8,
+    "op8_proximity": decontaminate.op8_proximity,
     "op9_near_duplicates": neardup.op9,
 }
 ORACLES = {

@@ -57,3 +57,61 @@ def test_proximity(spark):
     index = D.build_index(docs, [w for _, x in items for w in x])
     got = sorted((r.doc_id, r.start, r.end) for r in D.proximity_matches(index, items, slop=2).collect())
     assert got == [(1, 1, 5), (2, 0, 3)]
+
+
+def spans_by_hand(w, words, slop):
+    own, out = set(words), set()
+    for end in range(len(w)):
+        last = {x: k for k, x in enumerate(w[: end + 1]) if x in own}
+        if w[end] in own and len(last) == len(own) and end - min(last.values()) < len(words) + slop:
+            out.add((min(last.values()), end + 1))
+    return out
+
+
+def test_proximity_against_brute_force(spark, monkeypatch):
+    docs, items = tables()
+    phrases = {str(i): words_of((t or "").encode()) for i, t in items}
+    df = spark.createDataFrame([d for d in docs if d[0] != 7], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    spans, documents = [], []
+    for i, t in docs:
+        if i != 7:
+            w = words_of((t or "").encode())
+            hit, found = set(), set()
+            for item, words in phrases.items():
+                spans += [(i, item, a, b) for a, b in spans_by_hand(w, words, 2)] if words else []
+                for p in [words[k : k + 8] for k in range(max(1, len(words) - 7))] + [words] if words else []:
+                    for a, b in spans_by_hand(w, p, 2):
+                        found.add(item)
+                        hit.update(range(a, b))
+            documents.append((i, len(w), len(hit), sorted(found)))
+    read = lambda x: sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in x.collect()), key=repr)
+    for chunk in (D.CHUNK, 7):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        index = D.build_index(df, [w for words in phrases.values() for w in words])
+        assert sorted(tuple(r) for r in D.proximity_matches(index, list(phrases.items()), 2).collect()) == sorted(spans)
+        assert read(D.near_documents(df, bench, 2)) == sorted(documents, key=repr)
+        monkeypatch.setattr(D, "SEGMENT_BYTES", 300)
+    assert read(D.near_documents(df, bench, 2, pass_words=25)) == sorted(documents, key=repr)
+    assert D.near_documents(df.limit(0), bench, 2).count() == 0
+
+
+def test_proximity_of_long_items(spark):
+    words = [f"w{k}" for k in range(6000)]
+    docs = [(1, " ".join(["x", *words[3000:], *words[:3000], "y"])), (2, " ".join(words[:5000])), (3, " ".join(words[5000:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = D.build_index(df, [w.encode() for w in words])
+    got = [tuple(r) for r in D.proximity_matches(index, [(5, [w.encode() for w in words])], 2).collect()]
+    assert got == [(1, "5", 1, 6001)]
+
+
+def test_op8_proximity_finds_added_and_moved_words(spark, tmp_path):
+    words = [f"w{k}" for k in range(40)]
+    added = " ".join(w + " new" * (k % 6 == 5) for k, w in enumerate(words))
+    moved = " ".join(words[k + 1] if k % 4 == 0 else words[k - 1] if k % 4 == 1 else w for k, w in enumerate(words))
+    rows = [(1, added), (2, moved), (3, "nothing of it w1 w2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert not any(r.n_items for r in D.op8(spark, str(tmp_path)).collect())
+    got = {r.doc_id: r.n_items for r in D.op8_proximity(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}

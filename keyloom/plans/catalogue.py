@@ -6,6 +6,7 @@ snapshots; supplier, part and documents give values for scalar functions.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -623,6 +624,121 @@ def spop_rest(spark, d):
     return sets.pop(members(spark, d), 1, seed=7)[1].groupBy("key").agg(F.count("*").alias("n"))
 
 
+# --- whole tables ------------------------------------------------------------------------------------------------------
+# The set and mutation queries above take a part of the rows by a remainder, as their SQL states. These take all: one set
+# of all events; for pairs, the first day's events and all others; all orders.
+
+ALL_MEMBERS = "SELECT DISTINCT user_id AS key, event_type AS member FROM events"
+FIRST_DAY = "coalesce(ts < TIMESTAMP '2024-01-02', false)"
+FIRST_MEMBERS = f"{ALL_MEMBERS} WHERE {FIRST_DAY}"
+OTHER_MEMBERS = f"{ALL_MEMBERS} WHERE NOT {FIRST_DAY}"
+ALL_CUSTOMERS = "SELECT c_custkey AS key, c_mktsegment AS value FROM customer"
+
+
+def whole(name: str, changes: dict[str, str]) -> Callable[[Query], Query]:
+    """name_all, with the SQL of name over other operands."""
+    parts = re.split("(" + "|".join(re.escape(x) for x in changes) + ")", ORACLES[name])
+    return query(f"{name}_all", "".join(changes.get(x, x) for x in parts))
+
+
+def all_members(spark, d):
+    return log(spark, d).select("key", F.col("event_type").alias("member")).distinct()
+
+
+def members_by_day(spark, d):
+    """(sets of the first day, sets of all other events)."""
+    first = F.coalesce(F.col("ts").cast("timestamp") < F.lit("2024-01-02").cast("timestamp"), F.lit(False))
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("member"), first.alias("first"))
+    return tuple(e.where(c).select("key", "member").distinct() for c in (F.col("first"), ~F.col("first")))
+
+
+def all_customers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+
+
+ALL = {MEMBERS: ALL_MEMBERS}
+ADDED = {MEMBERS: FIRST_MEMBERS, NEW: OTHER_MEMBERS}
+REMOVED = {MEMBERS: OTHER_MEMBERS, NEW: FIRST_MEMBERS}
+ORDERS = {" WHERE o_custkey % 3 > 0 AND ": " WHERE ", " WHERE o_custkey % 3 > 0": ""}
+
+
+@whole("scard", ALL)
+def scard_all(spark, d):
+    return sets.cardinality(all_members(spark, d))
+
+
+@whole("smembers", ALL)
+def smembers_all(spark, d):
+    return all_members(spark, d).groupBy("key").agg(shown(sets.members_sorted(F.col("member"))).alias("value"))
+
+
+@whole("srandmember_n", ALL)
+def srandmember_n_all(spark, d):
+    return sets.random_members(all_members(spark, d), 2, seed=7).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@whole("spop_rest", ALL)
+def spop_rest_all(spark, d):
+    return sets.pop(all_members(spark, d), 1, seed=7)[1].groupBy("key").agg(F.count("*").alias("n"))
+
+
+@whole("sadd_counts", ADDED)
+def sadd_counts_all(spark, d):
+    return sets.add(*members_by_day(spark, d))[1]
+
+
+@whole("sadd_result", ADDED)
+def sadd_result_all(spark, d):
+    return sets.add(*members_by_day(spark, d))[0]
+
+
+@whole("srem_counts", REMOVED)
+def srem_counts_all(spark, d):
+    first, others = members_by_day(spark, d)
+    return sets.remove(others, first)[1]
+
+
+@whole("srem_result", REMOVED)
+def srem_result_all(spark, d):
+    first, others = members_by_day(spark, d)
+    return sets.remove(others, first)[0]
+
+
+@whole("smismember", ADDED)
+def smismember_all(spark, d):
+    first, others = members_by_day(spark, d)
+    return sets.is_member(others, first)
+
+
+@whole("set_value_upsert", {SUBSET: ALL_CUSTOMERS} | ORDERS)
+def set_value_upsert_all(spark, d):
+    return mutate.upsert(all_customers(spark, d), order_ops(spark, d))
+
+
+@whole("set_value_changed", {SUBSET: ALL_CUSTOMERS} | ORDERS)
+def set_value_changed_all(spark, d):
+    return mutate.changed(all_customers(spark, d), order_ops(spark, d))
+
+
+# The next three need keys that the snapshot lacks, and every order has its customer; so subset() stays their snapshot.
+
+
+@whole("try_add", ORDERS)
+def try_add_all(spark, d):
+    return mutate.try_add(subset(spark, d), order_ops(spark, d))
+
+
+@whole("try_add_counts", ORDERS)
+def try_add_counts_all(spark, d):
+    got = mutate.try_add_counts(subset(spark, d), order_ops(spark, d))
+    return got.select(F.col("n_added").cast("long").alias("n_added"), F.col("n_existing").cast("long").alias("n_existing"))
+
+
+@whole("get_or_add", ORDERS)
+def get_or_add_all(spark, d):
+    return mutate.get_or_add(subset(spark, d), order_ops(spark, d))
+
+
 # --- codecs -----------------------------------------------------------------------------------------------------------
 
 

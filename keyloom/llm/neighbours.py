@@ -14,6 +14,7 @@ vector; ties go to the smaller vec_id; with fewer candidates than k all are retu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,12 +189,15 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score."""
+    """query_id, rank, vec_id, score, k for each row of queries. Equal rows are searched once and answered each; rows of one
+    id with other vectors have answers of their own."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")
     asked = (
-        queries.groupBy(F.size("v").alias("dim"), block)
-        .agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("v").alias("v"))).alias("queries"))
+        queries.groupBy("vec_id", "v")
+        .agg(F.count("*").alias("copies"))
+        .groupBy(F.size("v").alias("dim"), block)
+        .agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("v").alias("v"), F.col("copies").alias("copies"))).alias("queries"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
     pairs = asked.join(index, ["dim", "shard"]).select("dim", "queries", "n", "ids", "vectors", "edges", "entry")
@@ -208,12 +212,13 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFra
                 graph = Graph(unit(raw), edges, get("entry").as_py())
                 ids = get("ids").as_py()
                 asked = get("queries").values
-                own = asked.field("id").to_pylist()
+                own, copies = asked.field("id").to_pylist(), asked.field("copies").to_pylist()
                 q = np.array(asked.field("v").flatten()).reshape(-1, dim)
                 found, _ = graph.search(unit(q))
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for j, key in enumerate(own):
-                    here = found[j][found[j] >= 0][: 2 * k + 2]
+                    here = found[j][found[j] >= 0]
+                    row = hashlib.md5(q[j].tobytes()).digest()
                     score = cosines(raw[here], q[j][None])
                     left = []
                     for node, s in zip(here.tolist(), score.tolist(), strict=True):
@@ -226,11 +231,15 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFra
                         out[0].append(key)
                         out[1].append(x)
                         out[2].append(-s)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(answer, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        out[3].append(row)
+                        out[4].append(copies[j])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score", "row", "copies"])
+
+    found = pairs.mapInArrow(answer, "query_id long, vec_id long, score double, row binary, copies long")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:

@@ -44,3 +44,11 @@ def test_recall_and_ties(spark, monkeypatch):
 def test_empty(spark):
     assert N.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert N.nearest(spark.createDataFrame([(50, [1.0, 0.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_each_query_row_has_its_own_neighbours(spark):
+    rows = [(i, [float(np.cos(i / 20)), float(np.sin(i / 20))]) for i in range(1, 31)]
+    rows += [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (200, [1.0, 0.0]), (200, [0.0, 1.0])]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(x for x in got if x[0] == 50) == [(50, r, v) for r, v in enumerate((50, 200, 1, 2, 3), 1) for _ in range(2)]
+    assert sorted(v for q, _, v in got if q == 200) == sorted([50, 50, 1, 2, 3] + [30, 29, 28, 27, 26])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom.sources.shared import materialise, shared_dir
 
-__all__ = ["as_binary", "blocks", "materialise", "read_table", "shared_dir", "text_rows", "words_of"]
+__all__ = ["as_binary", "blocks", "materialise", "read_table", "shared_dir", "stored", "text_rows", "words_of"]
 
 #: Bytes of text that one block of vectorised work holds; a longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -30,6 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage is cut, and readers get only the columns that
+    they ask for."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_binary(column: str) -> F.Column:
     return F.col(column).cast("binary").alias(column)
 

@@ -2,16 +2,18 @@
 
 Regular expressions propose candidate spans. Three labelers vote on each: a regex labeler (a strict form of the kind), a
 gazetteer labeler (known top domains, country codes, issuer digits, reserved networks) and a context labeler (words before
-the span). Votes are counted over all documents by pattern: kind, the three votes and a bucket of length, at most a few
-hundred patterns whatever the corpus. From these counts expectation-maximisation estimates each labeler's reliability, and
-a logistic classifier is trained on the posteriors. It decides which candidates beyond the base ones are spans; those of
-the base kinds always are.
+the span). Spans of all documents are counted by kind, the three votes and what the classifier sees besides: length, the
+signs that part the span, the characters on both sides. These counts have at most PATTERNS rows whatever the corpus. From
+the votes expectation-maximisation estimates each labeler's reliability and a posterior. A logistic span classifier is
+trained on the posteriors with features of the span's text and surroundings, by kind, beside the votes. It decides which
+candidates beyond the base ones are spans; those of the base kinds always are.
 
 Base kinds: email, ip, card, phone. Further kinds: mailat (an address written out), ssn, account (a long number that is no
 card).
 
-Defined cases: a null text is an empty one, without spans; spans of several kinds may overlap; equal rows have equal
-spans; an empty table gives no rows; only doc_id and text are read (redact keeps every column).
+Defined cases: a null text is an empty one, without spans; a very long text takes time in proportion to its length and its
+matches; spans of several kinds may overlap; equal rows have equal spans; an empty table gives no rows; only doc_id and
+text are read, so other columns may have any names (redact keeps every column).
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import spans as S
-from keyloom.llm.common import materialise, read_table
+from keyloom.llm.common import read_table, stored
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("mailat", "ssn", "account")
+#: Kinds, votes, lengths, parting signs, left and right sides: the most patterns that can be counted.
+PATTERNS = 7 * 27 * 5 * 5 * 4 * 3
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: The number patterns enter a run of digits at its first digit only; it makes no other match elsewhere.
@@ -120,25 +124,42 @@ def labelers(kind: str, span: Column) -> list[Column]:
     return [regex, gazetteer, vote(rlike(before, CUES[kind]), rlike(before, AGAINST))]
 
 
+def seen(span: Column) -> list[Column]:
+    """What the classifier sees beside the votes: buckets of length, parting signs, left and right side."""
+    m, before, after = span["match"], F.coalesce(span["before"], F.lit("")), F.coalesce(span["after"], F.lit(""))
+    signs = F.regexp_replace(m, r"[^ .()\[\]-]", "")
+    parting = (
+        F.when(signs == "", "0").when(F.rlike(signs, F.lit(r"\A\x20+\z")), "1").when(F.rlike(signs, F.lit(r"\A-+\z")), "2")
+        .when(F.rlike(signs, F.lit(r"\A\.+\z")), "3").otherwise("4")
+    )
+    left = (
+        F.when(F.rlike(before, F.lit(r"[:=#]\s*\z")), "2").when(F.rlike(before, F.lit(r"(?U)\w\z")), "1")
+        .when(F.rlike(before, F.lit(r"\A\z|\s\z")), "0").otherwise("3")
+    )
+    right = F.when(F.rlike(after, F.lit(r"\A\z|\s")), "0").when(F.rlike(after, F.lit(r"[.,;:!?)\]\"']")), "1").otherwise("2")
+    return [F.least(F.floor((span["end"] - span["start"]) / 8), F.lit(4)).cast("string"), parting, left, right]
+
+
 def pattern_of(kind: str, span: Column) -> Column:
-    """kind, votes and length bucket, as a string."""
-    bucket = F.least(F.floor((span["end"] - span["start"]) / 8), F.lit(4)).cast("string")
-    return F.concat_ws("|", F.lit(kind), *labelers(kind, span), bucket)
+    """kind, votes and what is seen, as a string."""
+    return F.concat_ws("|", F.lit(kind), *labelers(kind, span), *seen(span))
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """docs, with the match and its surroundings replaced by the pattern of votes: array<struct<start, end, pattern>>."""
+    """docs, with the match and its surroundings replaced by their pattern: array<struct<start, end, from, to, pattern>>."""
     found = candidates(docs)
 
     def slim(kind: str) -> Column:
-        keep = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), pattern_of(kind, s).alias("pattern"))
+        keep = lambda s: F.struct(
+            *(s[c].alias(c) for c in ("start", "end", "from", "to")), pattern_of(kind, s).alias("pattern")
+        )
         return F.transform(kind, keep).alias(kind)
 
     return found.select(*docs.columns, *map(slim, BASE + EXTRA))
 
 
 def counted(rows: DataFrame) -> dict[str, int]:
-    """Candidates of all documents by pattern; a bounded table."""
+    """Candidates of all documents by pattern; PATTERNS rows at most."""
     every = F.concat(*(F.transform(k, lambda s: s["pattern"]) for k in BASE + EXTRA))
     got = rows.select(F.explode(every).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()
     return {r["pattern"]: r["n"] for r in got}
@@ -174,12 +195,16 @@ def reliabilities(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, f
     return dict(zip(names, post.tolist(), strict=True)), given
 
 
+#: Values of each part of a pattern after the kind.
+SIZES = (3, 3, 3, 5, 5, 4, 3)
+
+
 def features(pattern: str) -> np.ndarray:
-    kind, *rest = pattern.split("|")
+    """Indicators: the kind, each part's value, and each part's value with the kind."""
+    kind, *parts = pattern.split("|")
+    own = [float(int(p) == v) for p, size in zip(parts, SIZES, strict=True) for v in range(size)]
     out = [float(kind == k) for k in BASE + EXTRA]
-    for v in rest[:3]:
-        out += [float(v == "1"), float(v == "2")]
-    return np.array([*out, *(float(rest[3] == str(b)) for b in range(5)), 1.0])
+    return np.array([*out, *own, *(x * y for x in out for y in own), 1.0])
 
 
 def classifier(counts: dict[str, int]) -> dict[str, float]:
@@ -191,17 +216,19 @@ def classifier(counts: dict[str, int]) -> dict[str, float]:
     x = np.array([features(n) for n in names])
     y = np.array([post[n] for n in names])
     n = np.array([counts[k] for k in names], float)
-    n /= n.max()
+    n *= len(n) / n.sum()
     w = np.zeros(x.shape[1])
-    for _ in range(100):
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (n * (p - y)) + 1e-2 * w)
         w = w - np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-6:
+            break
     return dict(zip(names, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
 def decided(rows: DataFrame, model: dict[str, float]) -> DataFrame:
-    """rows with the kept spans as base and spans: array<struct<start, rank, end, kind>>, ordered."""
+    """rows with the kept spans as base and spans: array<struct<start, rank, end, kind, from, to>>, ordered."""
     good = sorted(p for p, x in model.items() if x >= 0.5 and p.split("|")[0] in EXTRA)
     accept = F.array(*map(F.lit, good)) if good else F.array().cast("array<string>")
     taken = [(k, F.filter(k, lambda s: F.array_contains(accept, s["pattern"]))) for k in EXTRA]
@@ -212,28 +239,27 @@ def decided(rows: DataFrame, model: dict[str, float]) -> DataFrame:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, the base kinds' spans, base and spans."""
-    rows = materialise(voted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text"))
+    rows = stored(voted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text"))
     return decided(rows, classifier(counted(rows)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, all columns as they are, with [KIND] in the place of each span; overlapping spans become one."""
-    named = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    model = classifier(counted(voted(named.select("text"))))
-    found = decided(voted(named), model).select("row", "text", "spans")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    """The documents, all columns as they are, with [KIND] in the place of each span; overlapping spans become one.
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
-
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(text)
-    done = found.select("row", masked.alias("masked"))
+    Rows and votes are stored, so each text is searched once."""
+    named = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = stored(voted(named).drop("text"))
+    found = decided(rows, classifier(counted(rows))).select("row", "spans")
+
+    part = lambda first, end: f"cast(substr(raw, cast({first} + 1 as int), cast({end} - {first} as int)) as string)"
+    # reach: how far the spans before each one go, in bytes
+    piece = f"if(s.from >= get(reach, i), concat({part('get(reach, i)', 's.from')}, '[', upper(s.kind), ']'), '')"
+    last = part("array_max(spans.to)", "octet_length(raw)")
+    masked = f"concat(array_join(transform(spans, (s, i) -> {piece}), ''), {last})"
+    reach = S.running("transform(spans, s -> s.to)", "greatest(acc.at, x)")
+    masked = S.let("raw", "cast(cast(row.text as string) as binary)", S.let("reach", reach, masked))
+    text = F.expr(f"if(size(spans) > 0, {masked}, cast(row.text as string))").cast(docs.schema["text"].dataType)
+    done = found.select("row", text.alias("masked"))
     return done.select(*((F.col("masked") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 

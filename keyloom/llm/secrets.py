@@ -9,7 +9,8 @@ covers a part of it. Windows that reach into a long word are left out; those bef
 
 Kinds: assign, access, hex (known forms), entropy.
 
-Defined cases: a null text is an empty one, without spans; spans of several kinds may overlap; equal rows have equal spans;
+Defined cases: a null text is an empty one, without spans; a very long text takes time in proportion to its length and its
+matches; spans of several kinds may overlap; equal rows have equal spans;
 an empty table gives no rows; only doc_id and text are read.
 """
 
@@ -47,43 +48,45 @@ KINDS: list[S.Kind] = [
 ]
 
 
-def _term(count: Column) -> Column:
-    """count * log2(count), 0 for 0."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+def _term(count: str) -> str:
+    """SQL of count * log2(count), 0 for 0."""
+    return f"if({count} > 1, {count} * log2({count}), 0D)"
 
 
-def highest_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window characters of an ASCII text at least that long."""
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.split(text, "").alias("all"))
+#: The count of a character stands in a text of counts at the place of its code less FIRST; no count is character ZERO.
+FIRST, LAST, ZERO = ord("+") - 1, ord("z"), ord("!")
 
-    def times(chars: Column, c: Column) -> Column:
-        return F.size(F.filter(chars, lambda x: x == c))
 
-    def step(acc: Column, i: Column) -> Column:
-        # i from 1; the window before holds the window characters up to i - 1, or fewer
-        chars, entering = acc["all"], F.get(acc["all"], i - 1)
-        full = i > window
-        leaving = F.get(chars, i - 1 - window)
-        inside = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        left = F.when(full, times(inside, leaving)).otherwise(F.lit(1))
-        after_leaving = F.when(full, acc["sum"] - _term(left) + _term(left - 1)).otherwise(acc["sum"])
-        there = times(inside, entering) - F.when(full & (leaving == entering), 1).otherwise(0)
-        total = after_leaving - _term(there) + _term(there + 1)
-        bits = F.when(i >= window, F.lit(window).cast("double"))
-        entropy = F.log2(bits) - total / bits
-        return F.struct(total.alias("sum"), F.greatest(acc["best"], F.coalesce(entropy, F.lit(0.0))).alias("best"), chars.alias("all"))
+def highest_entropy(text: str, window: int = WINDOW) -> str:
+    """SQL of the highest Shannon entropy, in bits, of any window characters of a candidate at least that long.
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), state, step, lambda acc: acc["best"])
+    counts holds a count for each possible character; a step changes those of the character that enters and of the one that
+    leaves, whatever the window's size. A window holds 90 characters at most, so that counts stay ASCII."""
+    if not 1 <= window <= 90:
+        raise ValueError("a window has 1 to 90 characters")
 
+    def moved(state: str, char: str, by: int) -> str:
+        """total and counts with a character more or less."""
+        change = f"named_struct('total', {state}.total - {_term('n')} + {_term(f'(n + {by})')}, "
+        change += f"'counts', overlay({state}.counts placing char(n + {by + ZERO}) from at for 1))"
+        count = f"ascii(substr({state}.counts, at, 1)) - {ZERO}"
+        return S.let("at", f"ascii({char}) - {FIRST}", S.let("n", count, change))
 
-def suspicious(span: Column) -> Column:
-    m = span["match"]
-    bound = F.lit(None).cast("double")
-    for _, form, bits in reversed(CLASSES):
-        bound = F.when(F.rlike(m, F.lit(form)), F.lit(bits)).otherwise(bound)
-    allowed = F.rlike(m, F.lit(ALLOWED)) | F.rlike(span["before"], F.lit(ALLOWED_BEFORE))
-    parts = F.filter(F.split(m, WORD, -1), lambda x: F.length(x) >= WINDOW)
-    return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, lambda x: highest_entropy(x) >= bound))
+    entropy = f"if(i >= {window}, log2({window}D) - now.total / {window}D, 0D)"
+    measured = f"named_struct('total', now.total, 'best', greatest(acc.best, {entropy}), 'counts', now.counts)"
+    left = f"if(i > {window}, {moved('acc', f'get(chars, i - 1 - {window})', -1)}, named_struct('total', acc.total, 'counts', acc.counts))"
+    step = S.let("gone", left, S.let("now", moved("gone", "get(chars, i - 1)", 1), measured))
+    start = f"named_struct('total', 0D, 'best', 0D, 'counts', '{chr(ZERO) * (LAST - FIRST)}')"
+    return S.let("chars", f"split({text}, '')", f"aggregate(sequence(1, size(chars)), {start}, (acc, i) -> {step}, acc -> acc.best)")
+
+
+def suspicious(span: str) -> str:
+    """SQL of whether a candidate, a struct of match and before, is a secret."""
+    bound = " ".join(f"when rlike({span}.match, r'{form}') then {bits}D" for _, form, bits in CLASSES)
+    allowed = f"(rlike({span}.match, r'{ALLOWED}') or rlike({span}.before, r'{ALLOWED_BEFORE}'))"
+    parts = f"filter(split({span}.match, r'{WORD}', -1), part -> length(part) >= {WINDOW})"
+    high = f"exists({parts}, part -> {highest_entropy('part')} >= bound)"
+    return f"if({allowed}, false, {S.let('bound', f'case {bound} end', high)})"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -98,11 +101,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         "candidate",
     )
 
-    def uncovered(s: Column) -> Column:
-        return ~F.exists(F.concat(*BASE), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
-    free = known.select("doc_id", *BASE, F.filter("candidate", uncovered).alias("candidate"))
-    return free.select("doc_id", *BASE, F.filter("candidate", suspicious).alias("entropy"))
+    # a kind's spans don't overlap, so the last that starts before a candidate's end reaches farthest
+    reach = lambda k: f"coalesce({S.last_before(k, 's.end')}.end > s.start, false)"
+    covered = " or ".join(f"(size({k}) > 0 and {reach(k)})" for k in BASE)
+    free = known.select("doc_id", *BASE, F.expr(f"filter(candidate, s -> not ({covered}))").alias("candidate"))
+    return free.select("doc_id", *BASE, F.expr(f"filter(candidate, s -> {suspicious('s')})").alias("entropy"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,9 +62,50 @@ def test_redaction(spark):
 
 
 def test_reliabilities_follow_agreement():
-    counts = {"ssn|1|1|1|1": 500, "ssn|2|2|2|1": 500, "ssn|1|1|2|1": 20, "ssn|2|2|1|1": 20}
+    counts = {"ssn|1|1|1|1|2|0|0": 500, "ssn|2|2|2|1|2|0|0": 500, "ssn|1|1|2|1|2|0|0": 20, "ssn|2|2|1|1|2|0|0": 20}
     post, given = P.reliabilities(counts)
-    assert post["ssn|1|1|1|1"] > 0.95 and post["ssn|2|2|2|1"] < 0.05
+    assert post["ssn|1|1|1|1|2|0|0"] > 0.95 and post["ssn|2|2|2|1|2|0|0"] < 0.05
     assert given[0, 1, 1] > given[2, 1, 1] > 0.8
     model = P.classifier(counts)
-    assert model["ssn|1|1|1|1"] > 0.8 and model["ssn|2|2|2|1"] < 0.2
+    assert model["ssn|1|1|1|1|2|0|0"] > 0.8 and model["ssn|2|2|2|1|2|0|0"] < 0.2
+
+
+def test_many_matches(spark):
+    n = 60_000  # more than two levels of chunks
+    text = " ".join(f"é a{i}@b.com 10.0.0.{i % 256}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = P.find_spans(docs).select(S.written(P.F.col("base")).alias("base"), P.F.size("spans").alias("n")).first()
+    want = base(text)
+    assert r.n == 2 * n and hashlib.md5(r.base.encode()).digest() == hashlib.md5(",".join(want).encode()).digest()
+    masked = P.redact(docs).first().text
+    assert masked == " ".join("é [EMAIL] [IP]" for _ in range(n))
+
+
+def test_precision_and_recall_of_added_kinds(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    num = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    good = {
+        "mailat": lambda: f"write to {word()} (at) {word()} (dot) com",
+        "ssn": lambda: f"social security {rng.randint(101, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "account": lambda: f"account: {num(rng.choice((10, 11, 12)))}",
+    }
+    bad = {
+        "mailat": lambda: f"version {word()} [at] {word()}.{num(2)}",
+        "ssn": lambda: f"invoice {rng.choice(('000', '666', '912'))}-{num(2)}-0000",
+        "account": lambda: f"order {rng.randint(1900, 2099)}-{num(2)}-{num(2)} {num(2)}",
+    }
+    rows, truth = [], []
+    for i in range(1500):
+        kind = rng.choice(list(good))
+        real = rng.random() < 0.5
+        rows.append((i, f"{word()} {word()} {(good if real else bad)[kind]()}, {word()}"))
+        truth.append((kind, real))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kinds for r in P.find_spans(docs).select("doc_id", P.F.transform("spans", lambda s: s["kind"]).alias("kinds")).collect()}
+    for kind in good:
+        own = [i for i, (k, _) in enumerate(truth) if k == kind]
+        hit = [i for i in own if kind in got[i]]
+        right = sum(truth[i][1] for i in hit)
+        assert right / max(1, len(hit)) >= 0.95, (kind, "precision", right, len(hit))
+        assert right / sum(truth[i][1] for i in own) >= 0.95, (kind, "recall")

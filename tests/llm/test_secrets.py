@@ -45,7 +45,7 @@ def test_entropy_against_brute_force(spark):
     def entropy(s):
         return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
-    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", X.highest_entropy(F.col("s")).alias("e")).collect()
+    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", F.expr(X.highest_entropy("s")).alias("e")).collect()
     for r in got:
         assert abs(r.e - max(entropy(r.s[i : i + 20]) for i in range(len(r.s) - 19))) < 1e-9
 
@@ -66,8 +66,25 @@ def test_random_keys_are_not_words(spark):
     rows += [("named", "authentication=" + draw(pools["base62"], 40)) for _ in range(400)]
     rows += [("word", f"internationalization{i}") for i in range(400)] + [("word", "AUTHENTICATIONTOKEN1")]
     span = F.struct(F.col("s").alias("match"), F.lit("").alias("before"))
-    got = spark.createDataFrame(rows, "kind string, s string").groupBy("kind").agg(F.avg(X.suspicious(span).cast("int")).alias("found")).collect()
+    got = spark.createDataFrame(rows, "kind string, s string").withColumn("span", span).groupBy("kind").agg(F.avg(F.expr(X.suspicious("span")).cast("int")).alias("found")).collect()
     found = {r.kind: r.found for r in got}
     assert found.pop("word") == 0 and len(found) == 9
     assert all(x >= 0.95 for x in found.values()), found
     assert all(x >= 0.99 for k, x in found.items() if k.startswith("base") or k == "named"), found
+
+
+def test_many_matches(spark):
+    n = 40_000
+    text = " ".join(f"é AKIA{i:016d} q8Zr2LmX0vTn5KcB7y{i:05d} token=abcdefgh{i}" for i in range(n))
+    r = X.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(
+        S.written(S.ordered([(k, F.col(k)) for k in X.BASE])).alias("base"), F.size("entropy").alias("n")
+    ).first()
+    assert r.base == ",".join(base(text)) and r.n == n
+
+
+def test_candidates_beside_known_forms(spark):
+    key = "q8Zr2LmX0vTn5KcB7yHd1WpE"
+    text = f"token=abcdefgh {key} secret: {key} {'0a' * 20} {key}"
+    r = X.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = [i for i in range(len(text)) if text.startswith(key, i)]
+    assert [(s.start, s.end) for s in r.entropy] == [(i, i + len(key)) for i in (at[0], at[2])]

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.sources.files import Files
 from keyloom.sources.shared import materialise, shared_dir
 
-__all__ = ["as_binary", "blocks", "materialise", "read_table", "shared_dir", "stored", "text_rows", "words_of"]
+__all__ = ["as_binary", "blocks", "delete_stored", "materialise", "read_table", "shared_dir", "stored", "text_rows", "words_of"]
 
 #: Bytes of text that one block of vectorised work holds; a longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -39,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_stored(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        Files(spark, folder).delete("")
+
+
 def as_binary(column: str) -> F.Column:
     return F.col(column).cast("binary").alias(column)
 

@@ -1,8 +1,9 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-1. Document frequencies of all shingles go to a count sketch of a fixed SKETCH_SIZE (every document counts). Its mean and
-   noise are taken off, so only shingles that stand out of the collisions lose weight. A shingle weighs its occurrences
-   times 1 + log((N + 1) / (df + 1)) / log(N + 1), between once and twice its occurrences.
+1. A shingle in df of N documents weighs its occurrences times 1 + log(N / max(df, N / RARE)) / log(RARE), between once
+   and twice its occurrences. Frequencies are exact: a count sketch of all shingles of all documents shows which cells can
+   hold one that is in a document of RARE or more, and the shingles of those cells are counted one by one. At most
+   RARE times the shingles of a mean document are that frequent, whatever the corpus.
 2. Equal texts become one node, by md5. Each text gets BANDS x ROWS consistent weighted samples; a band's samples make
    its bucket, in each of the GROUPINGS of samples to bands.
 3. Nodes of a bucket are linked to its smallest node; connected components of these links are candidate groups.
@@ -12,10 +13,14 @@
    links, never all pairs.
 5. Components of the links are the classes; the class id is the smallest doc_id.
 
+Keys with over a part in HOT of the rows (a text that a third of all documents share, the middle of a star) are joined by
+sending their HOT rows at most to every task; only the others are shuffled.
+
 Defined cases: null and empty texts are alone, each row a class of its own doc_id; equal wordless texts are one class; a
-text of one to four words has one shingle of all its words; equal rows are in one class; rows of one doc_id
-but other texts are nodes of their own, though their classes may be named alike; an empty table gives no rows; only doc_id
-and text are read (without_duplicates keeps every column).
+text of one to four words has one shingle of all its words; a very long text is one node like any other, and a task of its
+own where it exceeds TILE_BYTES; equal rows are in one class; rows of one doc_id but other texts are nodes of their own,
+though their classes may be named alike; an empty table gives no rows; only doc_id and text are read (without_duplicates
+keeps every column, whatever its name).
 """
 
 from __future__ import annotations
@@ -26,17 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD_TABLE, blocks, materialise, read_table, text_rows
+from keyloom.llm.common import WORD_TABLE, blocks, delete_stored, read_table, stored, text_rows
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Each sample is in GROUPINGS bands, with other samples each time: a pair that one grouping misses the other finds, at no
-#: more samples. A pair at the threshold is missed by one grouping in about 0.2 % of cases, by both in about 0.001 %.
+#: more samples. A pair at the threshold is missed by one grouping in about 0.18 % of cases; by both, as they regroup the
+#: same samples, in about 0.013 % (simulated).
 BANDS, ROWS, GROUPINGS = 12, 4, 2
 SKETCH_SIZE = 1 << 20
+#: Shingles in fewer than a document of RARE weigh alike.
+RARE = 1000
+HOT = 1000
 TILE, TILE_BYTES = 2048, 24 << 20
 #: Bytes of text in a block of vectorised work; its arrays stay in a core's cache.
 BLOCK = 1 << 18
@@ -119,14 +128,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def sketch_weights(docs: DataFrame) -> np.ndarray:
-    """Weight of an occurrence by the shingle's place in the sketch; a table of SKETCH_SIZE numbers whatever the corpus."""
+class Weights:
+    """Weight of an occurrence of a shingle by its hash: frequent ones are listed, all others weigh the most."""
+
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, n_docs: int, rare: int = RARE):
+        order = np.argsort(hashes)
+        self.hashes, n = hashes[order], max(1, n_docs, rare)
+        share = np.maximum(np.maximum(df[order], 1) / n, 1 / rare)
+        self.weights = np.append(1 - np.log(share) / np.log(rare), 1 - np.log(max(1 / n, 1 / rare)) / np.log(rare))
+        self.cells = np.zeros(SKETCH_SIZE, bool)
+        self.cells[(self.hashes % U(SKETCH_SIZE)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.weights[-1])
+        some = np.flatnonzero(self.cells[(h % U(SKETCH_SIZE)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            out[some] = self.weights[np.where(self.hashes[at] == h[some], at, -1)]
+        return out
+
+
+def learn_weights(docs: DataFrame, rare: int = RARE, size: int = SKETCH_SIZE) -> Weights:
+    """Weights by the exact document frequencies of the frequent shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SKETCH_SIZE, np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for _, texts in blocks(batches, BLOCK):
             h, _, _ = shingles(texts)
-            total += np.bincount((h % U(SKETCH_SIZE)).astype(np.int64), minlength=SKETCH_SIZE)
+            total += np.bincount((h % U(size)).astype(np.int64), minlength=size)
             n += len(texts)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
@@ -138,12 +167,30 @@ def sketch_weights(docs: DataFrame) -> np.ndarray:
     got = rows.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, n = got.column("place").to_numpy(), got.column("n").to_numpy()
     n_docs = int(n[place < 0].sum())
-    df = np.zeros(SKETCH_SIZE)
-    df[place[place >= 0]] = n[place >= 0]
-    mean = df.mean()
-    df = np.maximum(1, df - mean - 3 * np.sqrt(mean))
-    top = np.log(n_docs + 1) or 1.0
-    return (1 + np.maximum(0, np.log((n_docs + 1) / (df + 1))) / top).astype(np.float32)
+    cells = np.zeros(size, np.int64)
+    cells[place[place >= 0]] = n[place >= 0]
+    # A frequent shingle's cell holds its documents beside the load of all others. No cell's load is below the least one
+    # (for a given shingle with a chance of 1 in size, as the cells are exchangeable).
+    least = max(2, -(-n_docs // rare))
+    wanted = cells >= least + int(cells.min())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        held, n_held = [], 0
+        for _, texts in blocks(batches, BLOCK):
+            h, _, _ = shingles(texts)
+            held.append(h[wanted[(h % U(size)).astype(np.int64)]])
+            n_held += len(held[-1])
+            if n_held > 1 << 20:
+                yield batch(*np.unique(np.concatenate(held), return_counts=True))
+                held, n_held = [], 0
+        if n_held:
+            yield batch(*np.unique(np.concatenate(held), return_counts=True))
+
+    counted = rows.mapInArrow(pick, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return Weights(counted.column("h").to_numpy().astype(np.int64).view(np.uint64), counted.column("n").to_numpy(), n_docs, rare)
 
 
 def samples(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
@@ -192,7 +239,7 @@ def samples(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray, n: int) -> np
     return out
 
 
-def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, key, bands: a hash for each band, or null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +248,7 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             some = np.flatnonzero(np.diff(bounds))
             bands: list = [None] * len(texts)
             if len(some):
-                weight = count.astype(np.float32) * weights[(h % U(SKETCH_SIZE)).astype(np.int64)]
+                weight = (count * weights.of(h)).astype(np.float32)
                 drawn = samples(h, weight, np.append(bounds[some], bounds[-1]), BANDS * ROWS)
                 across = drawn.reshape(len(some), ROWS, BANDS).transpose(0, 2, 1)
                 drawn = np.concatenate([drawn.reshape(len(some), BANDS, ROWS), across], 1)
@@ -223,43 +270,78 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner remove shuffles and checkpoints of rounds that nothing refers to; else they stay on disk until
-    the driver's heap happens to fill."""
+    """Lets Spark's cleaner remove shuffles of rounds that nothing refers to; else they stay on disk until the driver's
+    heap happens to fill."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows with table's columns but n; table has one row a key, n being the rows of that key. Keys with over a part in HOT
+    of n_rows, HOT at most for each time that a row counts, go to every task; the other rows are shuffled."""
+    bound = max(1, n_rows // HOT)
+    hot = table.where(F.col("n") > bound).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= bound).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of a task's own edges with the smallest one of its component there."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    for k in range(0, len(rows), 100_000):
+        part = rows[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component of edges (a, b). Alternating large and small stars; each
-    round is checkpointed to the shared folder, and nothing but two numbers comes to the driver."""
-    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    """node, root: the smallest node of each connected component of edges (a, b). Alternating large and small stars over
+    edges that every task has contracted by itself; each round is written to the shared folder in the place of the last
+    one, and nothing but two numbers comes to the driver. Done when every node has one edge, to a node that has none."""
+    contracted = lambda df: stored(df.select("a", "b").mapInArrow(_contracted, "a binary, b binary"))
+    current = contracted(edges)
     while True:
+        ends = current.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            current.select("b", F.lit(0), F.lit(1))
+        )
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, open_ = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        if not open_:
+            roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        current = materialise(small.where("a <> b").distinct())
-        del both, least, large, joined, small
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        least = stored(least)
+        large = joined(both.where("b > a"), least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.where("a <> b").distinct())
+        below = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = joined(large, below, "a", n)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+        last, current = current, contracted(small)
+        for gone in (last, least, large, below):
+            delete_stored(gone)
+        del both, least, large, below, small, last, ends
         release(current)
-        found = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == tuple(found):
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        state = tuple(found)
 
 
-def linked(texts: list[bytes], weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def linked(texts: list[bytes], weights: Weights, threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of texts whose exact weighted Jaccard similarity reaches the threshold."""
     h, count, bounds = shingles(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     # A shingle that occurs n times becomes n elements (shingle, 1..n) of its weight: shared weight is then the minimum.
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    weight = np.repeat(weights[(h % U(SKETCH_SIZE)).astype(np.int64)].astype(np.float64), count)
+    weight = np.repeat(weights.of(h), count)
     owner = np.repeat(owner, count)
     element = np.repeat(h, count)
     element = np.where(nth > 0, mixed(element ^ mixed(nth.astype(np.uint64))), element)
@@ -302,7 +384,7 @@ def linked(texts: list[bytes], weights: np.ndarray, threshold: float) -> list[tu
     return forest
 
 
-def verified(groups: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def verified(groups: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """(a, b): links of the tasks. groups: task, key, text, all rows of a task together in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,19 +414,26 @@ def verified(groups: DataFrame, weights: np.ndarray, threshold: float) -> DataFr
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, class_id: one row per row of docs."""
-    weights = sketch_weights(docs)
-    signed = materialise(signatures(docs, weights))
-    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
-    nodes = materialise(nodes)
+    weights = learn_weights(docs)
+    signed = stored(signatures(docs, weights))
+    n_rows = signed.count()
+    nodes = signed.where("key is not null").groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"), F.count("*").alias("n")
+    )
+    nodes = stored(nodes)
     buckets = nodes.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    star = buckets.join(shared, "bucket").where("key <> b").select(F.col("key").alias("a"), "b")
-    groups = materialise(components(star))
-    release(groups)
+    star = joined(buckets, shared, "bucket", n_rows).where("key <> b").select(F.col("key").alias("a"), "b")
+    groups = components(star)
+    wanted = groups.join(nodes.select(F.col("key").alias("node"), "first", "n"), "node").select(F.col("node").alias("key"), "root", "first", "n")
     text = keyed(docs).where("key is not null")
-    wanted = groups.join(nodes.select(F.col("key").alias("node"), "first"), "node")
-    members = text.join(wanted, (text["doc_id"].eqNullSafe(wanted["first"])) & (text["key"] == wanted["node"])).select("key", "text", "root")
-    members = materialise(members.select("key", "text", "root", F.length("text").alias("size")))
+    # of a text that many rows share only the node's own rows are taken, and those are put together before the shuffle
+    bound = max(1, n_rows // HOT)
+    hot, rest = (wanted.where(c).drop("n") for c in (F.col("n") > bound, F.col("n") <= bound))
+    own = F.col("doc_id").eqNullSafe(F.col("first"))
+    of_hot = text.join(F.broadcast(hot), "key").where(own).groupBy("key", "root").agg(F.any_value("text").alias("text"))
+    members = text.join(rest, "key").where(own).select("key", "root", "text").unionByName(of_hot)
+    members = stored(members.select("key", "text", "root", F.length("text").alias("size")))
     sizes = members.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("tiles")
     )
@@ -365,13 +454,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .sortWithinPartitions("task")
         .select(F.concat_ws("/", F.hex("task.root"), "task.pair.i", "task.pair.j").alias("task"), "key", "text")
     )
-    links = materialise(verified(dealt, weights, threshold))
+    links = stored(verified(dealt, weights, threshold))
     roots = components(links).join(nodes.select(F.col("key").alias("node"), "first"), "node")
-    smallest = roots.groupBy("root").agg(F.min("first").alias("class_id"))
-    of_node = roots.select("node", "root").join(smallest, "root").select(F.col("node").alias("key"), "class_id")
-    of_key = nodes.select("key", "first").join(of_node, "key", "left").select("key", F.coalesce("class_id", "first").alias("class_id"))
+    smallest = roots.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n"))
+    of_node = joined(roots.select("node", "root"), smallest, "root", n_rows).select(F.col("node").alias("key"), "class_id")
+    of_key = nodes.select("key", "first", "n").join(of_node, "key", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), "n")
     alone = signed.where("key is null").select("doc_id", "key", F.col("doc_id").alias("class_id"))
-    return signed.where("key is not null").select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id").union(alone)
+    whole = joined(signed.where("key is not null").select("doc_id", "key"), stored(of_key), "key", n_rows)
+    return whole.select("doc_id", "key", "class_id").union(alone)
 
 
 def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -380,18 +470,20 @@ def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Of rows that repeat doc_id and text one stays; null and empty texts stay."""
     kept = classes(docs, threshold).where("key is not null and doc_id <=> class_id")
     row_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = kept.select(row_id("doc_id").alias("__id"), F.col("key").alias("__key")).distinct().withColumn("__kept", F.lit(True))
+    kept = kept.select(row_id("doc_id").alias("id"), "key")
     text = F.col("text").cast("binary")
-    marked = docs.withColumns(
-        {"__id": row_id("doc_id"), "__key": F.when(F.length(text) > 0, F.unhex(F.md5(text)))}
-    ).join(kept, ["__id", "__key"], "left")
-    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__kept"))  # the join has them together
-    return marked.withColumn("__n", first).where("__key is null or (__kept and __n = 1)").select(*docs.columns)
+    marked = docs.select(
+        F.struct(*(F.col(c) for c in docs.columns)).alias("row"),
+        row_id("doc_id").alias("id"),
+        F.when(F.length(text) > 0, F.unhex(F.md5(text))).alias("key"),
+    )
+    once = marked.where("key is not null").groupBy("id", "key").agg(F.any_value("row").alias("row"))  # repeats meet before the shuffle
+    rows = once.join(kept, ["id", "key"], "left_semi").select("row").union(marked.where("key is null").select("row"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (its documents)."""
-    found = materialise(classes(read_table(spark, sf_dir, "documents")))
-    # stored, so both sides of the join are plain shuffles and a class of many rows can be split
-    size = materialise(found.groupBy("class_id").agg(F.count("*").alias("n_class")))
-    return found.join(size, "class_id").select("doc_id", "class_id", "n_class")
+    found = stored(classes(read_table(spark, sf_dir, "documents")))
+    size = found.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("n_class", F.col("n"))
+    return joined(found, stored(size), "class_id", found.count()).select("doc_id", "class_id", "n_class")

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -6,14 +8,16 @@ from keyloom.llm import neardup as N
 from keyloom.llm.common import words_of
 
 
-def weighted(text, weights, seen):
-    words = words_of(text)
-    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+def grams_of(text):
+    words = words_of((text or "").encode())
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+
+
+def weighted(text, df, n):
+    """Weights from exact frequencies, by the rule of the docstring; nothing of the code under test."""
     out = {}
-    for g in grams:
-        if g not in seen:
-            seen[g] = float(weights[int(N.shingles([b" ".join(g)])[0][0] % N.U(N.SKETCH_SIZE))])
-        out[g] = out.get(g, 0.0) + seen[g]
+    for g in grams_of(text):
+        out[g] = out.get(g, 0.0) + 1 + math.log(n / max(df[g], n / 1000)) / math.log(1000)
     return out
 
 
@@ -41,7 +45,7 @@ def texts(seed):
 def test_classes_against_brute_force(spark, monkeypatch):
     rows = [(i, t, i) for i, t in enumerate(texts(5))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(5)
-    weights = N.sketch_weights(docs)
+    df = Counter(g for _, t, _ in rows for g in set(grams_of(t)))
     parent = {i: i for i, *_ in rows}
 
     def root(i):
@@ -49,8 +53,7 @@ def test_classes_against_brute_force(spark, monkeypatch):
             i = parent[i]
         return i
 
-    seen = {}
-    full = [(i, t, weighted(t.encode(), weights, seen)) for i, t, _ in rows if t]
+    full = [(i, t, weighted(t, df, len(rows))) for i, t, _ in rows if t]
     for n, (i, a, x) in enumerate(full):
         for j, b, y in full[:n]:
             if a == b or similarity(x, y) >= N.THRESHOLD:
@@ -97,3 +100,29 @@ def test_word_hashes_and_order():
     same = np.array([5, 7, 5 + 2**19, 5], np.uint64)  # two hashes that agree in the key's part
     order = N._by_text(np.zeros(4, np.int64), same)
     assert same[order].tolist() == sorted(same.tolist())
+
+
+def test_weights_are_exact(spark):
+    rng = random.Random(3)
+    common = [" ".join(f"c{k}w{j}" for j in range(5)) for k in range(40)]
+    rows = []
+    for i in range(600):
+        parts = [c for k, c in enumerate(common) if rng.random() < k / 60]
+        rows.append((i, " ".join(parts + [f"u{i}x{j}" for j in range(20)])))
+    weights = N.learn_weights(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rare=50, size=1 << 10)  # crowded cells
+    df = Counter(g for _, t in rows for g in set(grams_of(t)))
+    for g, n in df.items():
+        want = 1 + math.log(600 / max(n, 600 / 50)) / math.log(50)
+        assert abs(float(weights.of(N.shingles([b" ".join(g)])[0])[0]) - want) < 1e-9, (g, n)
+
+
+def test_clashing_columns_and_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 4)  # most groups are hot
+    docs = spark.createDataFrame(
+        [(i, "the same long text of quite a few words here" if i % 3 else f"own text {i} of other words entirely so {i}", i, "x", i) for i in range(60)]
+        + [(1, "the same long text of quite a few words here", 1, "x", 1)] * 30,
+        "doc_id long, text string, key int, id string, row int",
+    )
+    got = N.without_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted([1, *range(0, 60, 3)])

@@ -3,8 +3,19 @@ import numpy as np
 from keyloom.llm import neighbours as N
 
 
-def test_recall_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(N, "SHARD", 400)
+def test_recall_at_production_size():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 64))
+    x = N.unit(centres[rng.integers(0, 60, N.SHARD)] + rng.normal(size=(N.SHARD, 64)))
+    asked = x[:: N.SHARD // 200]
+    found, far = N.build(x).search(asked)
+    exact = np.argsort(-(asked @ x.T), axis=1)[:, 1:6]  # without itself
+    hits = [len(set(a) & set(b)) / 5 for a, b in zip(exact.tolist(), found[:, 1:6].tolist(), strict=True)]
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+    assert (np.diff(far, axis=1) >= 0).all()
+
+
+def test_recall_and_ties(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
     x = (centres[rng.integers(0, 20, 1000)] + rng.normal(size=(1000, 16))).astype(np.float32)
@@ -14,7 +25,7 @@ def test_recall_and_ties(spark, monkeypatch):
     rows += [(50, rows[50][1], 1)]  # a repeated row
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     by = {}
-    for r in N.nearest(df).collect():
+    for r in N.nearest(df, size=400).collect():
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     good = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if i < 2000]
     ids = np.array([i for i, _ in good])

@@ -1,20 +1,21 @@
 """Benchmark decontamination with a positional inverted index that is partitioned by documents.
 
-Documents are cut to segments. Each segment stores, for every term that any test item holds, the ascending word
-positions of that term (its postings). A query is answered in each segment alone: the rarest term of a phrase there
-gives the candidate starts, and the lists of the other terms, moved by their offsets, are intersected with them from
-the next rarest on. Terms of no test item can be in no phrase and get no postings.
+Documents are cut to segments. Each segment stores, for every term of its documents, the ascending word positions of that
+term (its postings). The index knows nothing of any benchmark, so a new one is asked of the same stored index. A query is
+answered in each segment alone: the rarest term of a phrase there gives the candidate starts, and the lists of the other
+terms, moved by their offsets, are intersected with them from the next rarest on. Only lists of asked terms are unpacked.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words never occurs; an item shorter
-than the window is one window of its own length; rows that repeat a doc_id are separate documents; equal windows of
-several items hit all of them; an empty documents table gives no rows; an empty benchmark table leaves every document
-clean. Only doc_id, text and item_id, text are read, so other columns may have any names.
+than the window is one window of its own length; a very long text is a segment of its own; rows that repeat a doc_id are
+separate documents; equal windows of several items hit all of them; an empty documents table gives no rows; an empty
+benchmark table leaves every document clean. Only doc_id, text and item_id, text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,16 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import blocks, materialise, read_table, text_rows, words_of
+from keyloom.llm.common import blocks, read_table, stored, text_rows, words_of
 
 WINDOW = 8
 #: Bytes of text in a segment.
 SEGMENT_BYTES = 4 << 20
 #: Words of the test items that one pass over the index asks for, as their windows go to every executor. A larger test set
-#: is asked in several passes over the same stored index.
+#: is asked in several passes over the same stored index, one after the other.
 PASS_WORDS = 2_000_000
-#: Free positions between two documents of a segment; no phrase is longer.
-GAP = 4096
 #: Words that op8_proximity allows between those of a window.
 SLOP = 2
 #: Places that a proximity search looks at together.
@@ -48,38 +47,34 @@ DOC_SCHEMA = (
 )
 
 
-def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """One row per segment: its documents and the postings of those terms; positions are int64, in the terms' order."""
-    known = {t: i for i, t in enumerate(sorted(set(terms)))}
-    names = sorted(known)
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row per segment: its documents and the postings of all their terms, in the terms' order. A position between two
+    documents belongs to no term, so no phrase can cross it."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, task = known.get, TaskContext.get()
+        task = TaskContext.get()
         for number, (keys, texts) in enumerate(blocks(batches, SEGMENT_BYTES)):
-            starts, lengths, found, at = [], [], [], []
-            base = 0
+            known: dict[bytes, int] = {}
+            lengths, ids = [], []
             for text in texts:
                 words = words_of(text)
-                ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                here = np.flatnonzero(ids >= 0)
-                found.append(ids[here])
-                at.append(here + base)
-                starts.append(base)
                 lengths.append(len(words))
-                base += len(words) + GAP
-            ids, places = np.concatenate(found), np.concatenate(at)
-            order = np.argsort(ids, kind="stable")
-            own, counts = np.unique(ids, return_counts=True)
+                ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            sizes = np.array(lengths, np.int64)
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            flat = np.concatenate(ids)
+            places = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(flat, kind="stable")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task.partitionId() if task else 0}-{number}"]),
                     pa.array([keys], pa.list_(pa.int64())),
                     pa.array([[hashlib.md5(t or b"").digest() for t in texts]], pa.list_(pa.binary())),
                     pa.array([starts], pa.list_(pa.int64())),
-                    pa.array([lengths], pa.list_(pa.int64())),
-                    pa.array([[names[i] for i in own.tolist()]], pa.list_(pa.binary())),
-                    pa.array([counts.astype(np.int32).tolist()], pa.list_(pa.int32())),
-                    pa.array([places[order].astype(np.int32 if base < 2**31 else np.int64).tobytes()], pa.binary()),
+                    pa.array([sizes], pa.list_(pa.int64())),
+                    pa.array([list(known)], pa.list_(pa.binary())),
+                    pa.array([np.bincount(flat, minlength=len(known))], pa.list_(pa.int32())),
+                    pa.array([places[order].astype(np.int32 if len(flat) + len(sizes) < 2**31 else np.int64).tobytes()], pa.binary()),
                 ],
                 names=["segment", "doc_ids", "text_md5", "starts", "n_words", "terms", "counts", "postings"],
             )
@@ -87,20 +82,47 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     return text_rows(docs).mapInArrow(segments, SEGMENT_SCHEMA)
 
 
+class Question:
+    """Phrases to ask a segment for: word numbers of all of them, one after the other, and where each begins."""
+
+    def __init__(self, phrases: list[tuple[bytes, ...]]):
+        self.asked: dict[bytes, int] = {}
+        number = lambda w: self.asked.setdefault(w, len(self.asked))
+        self.flat = np.array([number(w) for p in phrases for w in p], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int64)
+        self.longest = max(map(len, phrases), default=0)
+
+
 class Segment:
-    """A stored segment, ready for queries."""
+    """A stored segment, ready for queries of the asked terms (term -> number in the question)."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, asked: dict[bytes, int], longest: int):
         counts = np.array(row["counts"], np.int64)
         total, size = int(counts.sum()), len(row["postings"])
-        self.positions = np.frombuffer(row["postings"], np.int32 if size == 4 * total else np.int64).astype(np.int64)
-        self.terms = {t: i for i, t in enumerate(row["terms"])}
-        self.counts, self.begins = counts, np.concatenate([[0], np.cumsum(counts)])
-        #: Sorted (term, position) pairs as one number: an exact membership test for all lists at once.
-        self.span = int(self.positions.max(initial=0)) + 2 * GAP
-        self.keyed = np.repeat(np.arange(len(counts)), counts) * self.span + self.positions
+        positions = np.frombuffer(row["postings"], np.int32 if size == 4 * total else np.int64)
+        number = np.fromiter((asked.get(t, -1) for t in row["terms"]), np.int64, len(row["terms"]))
+        own = np.flatnonzero(number >= 0)
+        #: The segment's number of each asked term; -1 if it isn't there.
+        self.local = np.full(len(asked), -1, np.int64)
+        self.local[number[own]] = np.arange(len(own))
+        ends = np.cumsum(counts)
+        self.counts = counts[own]
+        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
+        shift = np.repeat((ends - counts)[own] - self.begins[:-1], self.counts)
+        self.positions = positions[np.arange(int(self.begins[-1])) + shift].astype(np.int64)
         self.doc_ids, self.starts = row["doc_ids"], np.array(row["starts"], np.int64)
         self.n_words = np.array(row["n_words"], np.int64)
+        #: Sorted (term, position) pairs as one number: an exact membership test for all lists at once.
+        self.span = int((self.starts + self.n_words).max(initial=0)) + longest + 1
+        self.keyed = np.repeat(np.arange(len(own)), self.counts) * self.span + self.positions
+
+    def present(self, question: Question) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The phrases whose terms are all here, and their terms by this segment's numbers."""
+        if not len(question.flat):
+            return np.zeros(0, np.int64), []
+        terms = self.local[question.flat]
+        there = np.flatnonzero(np.logical_and.reduceat(terms >= 0, question.cuts[:-1]))
+        return there, [terms[a:b] for a, b in zip(question.cuts[there].tolist(), question.cuts[there + 1].tolist(), strict=True)]
 
     def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         key = term * self.span + position
@@ -234,18 +256,14 @@ def exact_matches(index: DataFrame, items: list[tuple[object, list[bytes]]], siz
     for item, words in items:
         for window in windows_of(words, size):
             owners.setdefault(window, set()).add(str(item))
-    windows = list(owners)
-    whose = [sorted(owners[w]) for w in windows]
+    whose = [sorted(x) for x in owners.values()]
+    question = Question(list(owners))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                segment = Segment(row)
-                asked, known = [], segment.terms
-                for i, window in enumerate(windows):
-                    if all(w in known for w in window):
-                        asked.append(i)
-                queries = [np.array([known[w] for w in windows[i]], np.int64) for i in asked]
+                segment = Segment(row, question.asked, question.longest)
+                asked, queries = segment.present(question)
                 number, start = segment.phrases(queries)
                 sizes = np.array([len(q) for q in queries], np.int64)[number] if len(number) else number
                 yield per_document(row, segment, [whose[asked[i]] for i in number.tolist()], start, start + sizes)
@@ -259,17 +277,16 @@ def _near(index: DataFrame, phrases: list[tuple[str, list[bytes]]], slop: int, w
     for item, words in phrases:
         if words:
             owners.setdefault((tuple(sorted(set(words))), len(words) + slop), set()).add(item)
-    asked_of = list(owners)
-    whose = [sorted(owners[p]) for p in asked_of]
+    widths = [w for _, w in owners]
+    whose = [sorted(x) for x in owners.values()]
+    question = Question([words for words, _ in owners])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                segment = Segment(row)
-                known = segment.terms
-                asked = [i for i, (words, _) in enumerate(asked_of) if all(w in known for w in words)]
-                queries = [np.array([known[w] for w in asked_of[i][0]], np.int64) for i in asked]
-                number, start, end = segment.near(queries, [asked_of[i][1] for i in asked])
+                segment = Segment(row, question.asked, question.longest)
+                asked, queries = segment.present(question)
+                number, start, end = segment.near(queries, [widths[i] for i in asked])
                 names = [whose[asked[i]] for i in number.tolist()]
                 out = per_document(row, segment, names, start, end)
                 if not with_spans:
@@ -298,16 +315,26 @@ def proximity_matches(index: DataFrame, items: list[tuple[object, list[bytes]]],
 def near_documents(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """As decontaminate, by proximity: an item is in a document if all distinct words of a window of it, or of the whole
     item, stand there in any order in at most slop words more. Every exact occurrence is one."""
-    passes = test_items(benchmark, pass_words)
-    index = materialise(build_index(docs, [w for items in passes for _, words in items for w in words]))
 
     def phrases(items: list[tuple[object, list[bytes]]]) -> list[tuple[str, list[bytes]]]:
         return [(str(i), list(p)) for i, words in items for p in [*windows_of(words, size), words]]
 
-    found = united([_near(index, phrases(items), slop) for items in passes])
+    index = stored(build_index(docs))
+    found = in_passes(benchmark, pass_words, lambda items: _near(index, phrases(items), slop))
     return found.select("doc_id", "text_md5", "n_words", "n_hit", "items", "hits")
 
 
+def in_passes(benchmark: DataFrame, limit: int, ask: Callable[[list], DataFrame]) -> DataFrame:
+    """The answers to all items. Several passes are run one by one, so the driver holds the items of one."""
+    passes = test_items(benchmark, limit)
+    first, second = next(passes, []), next(passes, None)
+    if second is None:
+        return ask(first)
+    parts = [stored(ask(first)), stored(ask(second))]
+    del first, second
+    return united([*parts, *(stored(ask(items)) for items in passes)])
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     """The answers of several passes as one row per document: items and hit stretches together."""
     if len(parts) == 1:
@@ -327,36 +354,40 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return both.withColumn("n_hit", F.aggregate("hits", start, step, lambda acc: acc["n"])).select(*parts[0].columns)
 
 
-def test_items(benchmark: DataFrame, limit: int) -> list[list[tuple[object, list[bytes]]]]:
+def test_items(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, list[bytes]]]]:
     """The items with their words, in passes of about limit words."""
-    passes: list[list] = [[]]
+    items: list = []
     size = 0
     for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
         words = words_of(bytes(row["text"]) if row["text"] is not None else None)
-        if passes[-1] and size + len(words) > limit:
-            passes.append([])
-            size = 0
-        passes[-1].append((row["item_id"], words))
+        if items and size + len(words) > limit:
+            yield items
+            items, size = [], 0
+        items.append((row["item_id"], words))
         size += len(words)
-    return passes
+    if items:
+        yield items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """doc_id, text_md5, n_words, n_hit, items: the item ids with a window in the document, sorted as strings."""
-    passes = test_items(benchmark, pass_words)
-    index = materialise(build_index(docs, [w for items in passes for _, words in items for w in words]))
-    found = united([exact_matches(index, items, size) for items in passes])
+    index = stored(build_index(docs))
+    found = in_passes(benchmark, pass_words, lambda items: exact_matches(index, items, size))
     return found.select("doc_id", "text_md5", "n_words", "n_hit", "items", "hits")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, size: int = WINDOW) -> DataFrame:
-    """The documents, all columns as they are, in which windows of fewer than min_items items occur. Rows are told apart
-    by doc_id and text, so a clean row of the same doc_id stays."""
+    """The documents, all columns as they are and whatever their names, in which windows of fewer than min_items items
+    occur. Rows are told apart by doc_id and text, so a clean row of the same doc_id stays."""
     found = decontaminate(docs, benchmark, size).where(F.size("items") >= min_items)
-    leaks = found.select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
-    md5 = F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (md5 == F.col("__md5"))
-    return docs.join(materialise(leaks), same, "left_anti")
+    leaks = stored(found.select(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5")).distinct())
+    marked = docs.select(
+        F.struct(*(F.col(c) for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).alias("own_md5"),
+    )
+    kept = marked.join(leaks, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_md5") == F.col("md5")), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import decontaminate as D
 from keyloom.llm.common import words_of
 
@@ -54,7 +56,7 @@ def test_against_brute_force(spark, monkeypatch):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x one two y three z"), (2, "three two one"), (3, "one two . . . a b c d e f three"), (4, None)], "doc_id long, text string")
     items = [(9, words_of(b"one two three"))]
-    index = D.build_index(docs, [w for _, x in items for w in x])
+    index = D.build_index(docs)
     got = sorted((r.doc_id, r.start, r.end) for r in D.proximity_matches(index, items, slop=2).collect())
     assert got == [(1, 1, 5), (2, 0, 3)]
 
@@ -88,7 +90,7 @@ def test_proximity_against_brute_force(spark, monkeypatch):
     read = lambda x: sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in x.collect()), key=repr)
     for chunk in (D.CHUNK, 7):
         monkeypatch.setattr(D, "CHUNK", chunk)
-        index = D.build_index(df, [w for words in phrases.values() for w in words])
+        index = D.build_index(df)
         assert sorted(tuple(r) for r in D.proximity_matches(index, list(phrases.items()), 2).collect()) == sorted(spans)
         assert read(D.near_documents(df, bench, 2)) == sorted(documents, key=repr)
         monkeypatch.setattr(D, "SEGMENT_BYTES", 300)
@@ -100,7 +102,7 @@ def test_proximity_of_long_items(spark):
     words = [f"w{k}" for k in range(6000)]
     docs = [(1, " ".join(["x", *words[3000:], *words[:3000], "y"])), (2, " ".join(words[:5000])), (3, " ".join(words[5000:]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    index = D.build_index(df, [w.encode() for w in words])
+    index = D.build_index(df)
     got = [tuple(r) for r in D.proximity_matches(index, [(5, [w.encode() for w in words])], 2).collect()]
     assert got == [(1, "5", 1, 6001)]
 
@@ -115,3 +117,23 @@ def test_op8_proximity_finds_added_and_moved_words(spark, tmp_path):
     assert not any(r.n_items for r in D.op8(spark, str(tmp_path)).collect())
     got = {r.doc_id: r.n_items for r in D.op8_proximity(spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_one_index_answers_several_benchmarks(spark):
+    docs, items = tables()
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).cache()
+    for own in (items[:2], items[4:], []):
+        words = [(i, words_of((t or "").encode())) for i, t in own]
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in D.exact_matches(index, words).collect()), key=repr)
+        assert got == brute(docs, own)
+
+
+def test_long_windows_and_clashing_names(spark):
+    words = [f"w{k}" for k in range(9000)]
+    rows = [(1, " ".join(words), "a", 1), (2, " ".join(words[:8999]), "b", 2), (3, " ".join(words[8999:]), "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, row int").coalesce(1)
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.n_hit for r in D.decontaminate(df, bench, size=8500).collect()}
+    assert got == {1: 9000, 2: 8999, 3: 0}
+    kept = D.without_leaks(df.withColumn("md5", F.lit(1)).withColumn("own_id", F.lit(2)), bench)
+    assert kept.columns == ["doc_id", "text", "id", "row", "md5", "own_id"] and [r.doc_id for r in kept.collect()] == [3]

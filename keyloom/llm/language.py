@@ -7,11 +7,13 @@ every (context, byte) is computed once and a text's code length is a sum of tabl
 
 Letters are lower-cased in ASCII, other ASCII characters are spaces, bytes of other characters stay as they are.
 
-Bounds: the trees are fitted on at most ROWS_PER_LANGUAGE labelled rows of each language, taken by the smallest hash of
-their id, whole texts; and keep MAX_CONTEXTS three-byte contexts, the most frequent ones. All texts are scored whole.
+Bounds: the trees are fitted on at most ROWS_PER_LANGUAGE labelled documents of each of the LANGUAGES most frequent
+languages, taken by the smallest hash of their id, one whole text each. They keep every context of those texts. All texts
+are scored whole.
 
 Defined cases: a null text and one without a letter give `und` and score 0, as does everything if no language was
-learnt; ties go to the alphabetically first language; repeated rows score alike; an empty table gives no rows; only
+learnt; ties go to the alphabetically first language; repeated rows score alike; of rows of one doc_id and language the
+smallest text teaches; a very long text is scored in a block of its own; an empty table gives no rows; only
 doc_id, text and, for training rows, lang are read.
 """
 
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import as_binary, blocks, read_table, text_rows
 
-ROWS_PER_LANGUAGE = 800
-MAX_CONTEXTS = 16_384
+ROWS_PER_LANGUAGE, LANGUAGES = 800, 1024
 ORDER = 3
 #: Symbols: a space, 26 letters, 128 other bytes.
 SIZE = 155
@@ -74,8 +75,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run), pa.string()), pa.array(run), pa.array(n)], names=["lang", "run", "n"])
 
 
+class Found:
+    """Numbers of known keys: an open table, so that a lookup takes the same time however many there are."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = (1 << max(4, int(4 * len(keys)).bit_length())) - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        place, left = self._first(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = self.table[place[left]] < 0
+            self.table[place[left[free]]] = left[free]
+            left = left[self.table[place[left]] != left]
+            place[left] = (place[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        place = self._first(keys)
+        out = self.table[place]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys)) if len(self.keys) else []
+        while len(left):
+            place[left] = (place[left] + 1) & self.mask
+            out[left] = self.table[place[left]]
+            left = left[(out[left] >= 0) & (self.keys[out[left]] != keys[left])]
+        return out
+
+
 class Trees:
-    """Frozen code lengths. rows: context -> row of the tables; tables: code length of each symbol by row and language."""
+    """Frozen code lengths of every symbol after every context seen: runs of three symbols and one more by number, shorter
+    contexts as tables, escapes of three symbols by context."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
@@ -86,60 +118,61 @@ class Trees:
         return {"languages": self.languages, "counts": self.counts, "_tables": None}
 
     @property
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self) -> tuple[Found, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Numbers of the runs; rows of the shorter contexts; escape of each three symbols; by language, code lengths of runs
+        and then of the shorter contexts' symbols, and escapes (the first is none)."""
         if self._tables is None:
-            total: dict[int, int] = {}
-            seen2 = set()
-            for run, n in self.counts.values():
-                for c, k in zip(*_sum(run // SIZE, n), strict=True):
-                    total[int(c)] = total.get(int(c), 0) + int(k)
-                seen2.update((np.unique(run // SIZE) % SIZE**2).tolist())
-            kept3 = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:MAX_CONTEXTS]), np.int64)
-            kept2 = np.array(sorted(seen2), np.int64)
-            rows = np.tile(np.arange(SIZE, dtype=np.int32), SIZE**2)  # one symbol of context
-            by2 = np.full(SIZE**2, -1, np.int32)
-            by2[kept2] = SIZE + np.arange(len(kept2))
-            two = np.tile(by2, SIZE)
-            rows = np.where(two >= 0, two, rows)
-            rows[kept3] = SIZE + len(kept2) + np.arange(len(kept3))
-            lengths = np.stack([self._lengths(*self.counts[x], kept2, kept3) for x in self.languages], axis=-1)
-            self._tables = rows.astype(np.int32), lengths.reshape(-1, len(self.languages))
+            runs = np.unique(np.concatenate([r for r, _ in self.counts.values()])) if self.counts else np.zeros(0, np.int64)
+            three, two = np.unique(runs // SIZE), np.unique(runs // SIZE % SIZE**2)
+            rows = np.tile(np.arange(SIZE, dtype=np.int32), SIZE)  # one symbol of context
+            rows[two] = SIZE + np.arange(len(two), dtype=np.int32)
+            escape = np.zeros(SIZE**3, np.int32)
+            escape[three] = 1 + np.arange(len(three), dtype=np.int32)
+            both = [self._lengths(*self.counts[x], runs, three, two, rows, escape) for x in self.languages]
+            self._tables = Found(runs), rows, escape, [x for x, _ in both], [x for _, x in both]
         return self._tables
 
     @staticmethod
-    def _lengths(run: np.ndarray, n: np.ndarray, kept2: np.ndarray, kept3: np.ndarray) -> np.ndarray:
-        """Code lengths by (row, symbol): one, two and three symbols of context."""
+    def _lengths(run: np.ndarray, n: np.ndarray, runs: np.ndarray, three: np.ndarray, two: np.ndarray, rows: np.ndarray, escape: np.ndarray) -> tuple:
+        """A language's code lengths and escapes, as tables has them."""
 
         def level(keys: np.ndarray, wanted: np.ndarray, below: np.ndarray) -> np.ndarray:
             """keys: context * SIZE + symbol of each run; below: code lengths after an escape, by wanted context."""
             at, count = _sum(keys, n)
-            context, symbol = at // SIZE, at % SIZE
-            place = np.searchsorted(wanted, context)
-            good = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == context) if len(wanted) else np.zeros(len(at), bool)
             seen = np.zeros((len(wanted), SIZE))
-            seen[place[good], symbol[good]] = count[good]
+            seen[np.searchsorted(wanted, at // SIZE), at % SIZE] = count
             total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
-                return np.where(seen > 0, -np.log2(seen / (total + distinct)), escape + below)
+                escaped = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
+                return np.where(seen > 0, -np.log2(seen / (total + distinct)), escaped + below)
 
         zero = level(run % SIZE, np.zeros(1, np.int64), np.full((1, SIZE), np.log2(SIZE)))
         one = level(run % SIZE**2, np.arange(SIZE), np.repeat(zero, SIZE, 0))
-        two = level(run % SIZE**3, kept2, one[kept2 % SIZE])
-        two_of = np.searchsorted(kept2, kept3 % SIZE**2)
-        three = level(run, kept3, two[two_of])
-        return np.concatenate([one, two, three]).astype(np.float32)
+        shorter = np.concatenate([one, level(run % SIZE**3, two, one[two % SIZE])])
+        at, count = _sum(run, n)
+        context, first = np.unique(at // SIZE, return_index=True)
+        total, distinct = np.add.reduceat(count, first) if len(at) else count, np.diff(np.append(first, len(at)))
+        escapes = np.zeros(len(three) + 1)
+        escapes[escape[context]] = -np.log2(distinct / (total + distinct))
+        lengths = shorter[rows[runs // SIZE % SIZE**2], runs % SIZE] + escapes[escape[runs // SIZE]]
+        own = np.searchsorted(context, at // SIZE)
+        lengths[np.searchsorted(runs, at)] = -np.log2(count / (total + distinct)[own])
+        return np.concatenate([lengths, shorter.ravel()]).astype(np.float32), escapes.astype(np.float32)
 
     def code_lengths(self, texts: list[bytes | None]) -> np.ndarray:
         """Bits of each text in each language."""
-        rows, tables = self.tables
+        found, rows, escape, lengths, escapes = self.tables
         flat, begins, ends = symbols(texts)
-        at = rows[contexts(flat)] * SIZE + flat
+        context = contexts(flat)
+        number = found.of(context.astype(np.int64) * SIZE + flat)
+        known = number >= 0
+        at = np.where(known, number, len(found.keys) + rows[context % SIZE**2] * SIZE + flat)
+        out_of = np.where(known, 0, escape[context])
         out = np.zeros((len(texts), len(self.languages)))
         some = np.flatnonzero(ends > begins)
         cuts = np.stack([begins[some], ends[some]], 1).ravel()
         for k in range(len(self.languages)):
-            bits = np.append(tables[:, k][at], np.float32(0))
+            bits = np.append(lengths[k][at] + escapes[k][out_of], np.float32(0))
             out[some, k] = np.add.reduceat(bits, cuts, dtype=np.float64)[::2] if len(some) else 0
         return out
 
@@ -155,19 +188,16 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Trees:
     training = known.select("doc_id", "lang").where(
         "lang is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"
     )
+    training = training.distinct()
     # The smallest hashes of a language lie below twice their share, so the ranking sees about 2 * rows of it, not all.
-    sizes = training.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
     near = training.join(F.broadcast(sizes), "lang").where(place < (F.lit(2.0 * rows) + F.lit(64.0)) / F.col("n"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        near.withColumn("k", F.row_number().over(first))
-        .where(F.col("k") <= rows)
-        .groupBy("doc_id", "lang")
-        .agg(F.count("*"))
-        .select("doc_id", "lang")
-    )
-    texts = known.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    chosen = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).select("doc_id", "lang")
+    # LANGUAGES * rows pairs of an id and a language at most
+    texts = known.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     got = texts.mapInArrow(_count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).orderBy("lang", "run").toArrow()
     lang, run, n = np.array(got.column("lang").to_pylist()), got.column("run").to_numpy(), got.column("n").to_numpy()
     return Trees({x: (run[lang == x], n[lang == x]) for x in sorted(set(lang.tolist()))})

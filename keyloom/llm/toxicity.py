@@ -5,12 +5,14 @@ parts words to spaces. The lexicon holds whole words and word beginnings (weight
 training texts), learnt from labelled rows; where several entries start at one word the heaviest counts. Hits inside an
 exception phrase don't count. A document's hits, also as a share of its length, go through a logistic function.
 
-Bounds: the lexicon and the function are fitted on at most TRAINING_ROWS labelled rows, taken by the smallest hash of
-their id, and the lexicon has at most LEXICON_SIZE entries. Everything is scored.
+Bounds: the lexicon and the function are fitted on at most TRAINING_ROWS labelled ids, taken by the smallest hash, and one
+text of each. The lexicon has every entry of those texts that is frequent and toxic enough. Everything is scored.
 
 Defined cases: null, empty and wordless texts have no hits and the score of a text without hits; repeated rows score
 alike; a doc_id with several labels is toxic if one says so; null labels teach nothing; without training rows of both
-kinds the lexicon is empty and the share of toxic labels (0 without any) is every score; only doc_id and text are read.
+kinds the lexicon is empty and the share of toxic labels (0 without any) is every score; of rows of one doc_id the
+smallest text teaches; a very long text is scored whole; only doc_id and text are read, so other columns may have any
+names (without_toxic keeps every column).
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import as_binary, blocks, read_table, text_rows
+from keyloom.llm.common import as_binary, blocks, read_table, stored, text_rows
 
 TRAINING_ROWS = 24_000
-LEXICON_SIZE = 4096
 #: Bytes of a word's beginning that may become entries.
 STEMS = range(5, 9)
 MIN_ODDS = 2.5
@@ -123,17 +124,20 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, text, toxic, part of at most rows labelled documents: crc32 of the id decides, part 2 is held out."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    chosen = (
+    labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .withColumn("part", part)
         .where("part <> 2")
         .groupBy("doc_id", "part")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).join(F.broadcast(chosen), "doc_id")
+    # The smallest hashes lie below twice their share, so the one task that takes the first ones sees about 2 * rows ids.
+    bound = (2.0 * rows + 64) / max(1, labelled.count())
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    chosen = labelled.where(place < F.lit(bound)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "part", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", "part")
 
 
 def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,27 +157,22 @@ def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Lexicon from parts 0 and 1 of the labelled rows, logistic function from part 3."""
-    training = training_rows(docs, labels, rows).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    training = stored(training_rows(docs, labels, rows).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     counted = (
         training.where("part < 2").select("text", "toxic").mapInArrow(_count_entries, "entry binary, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .where((F.col("toxic") >= 3) | (F.col("entry") == F.lit(b"")))
     )
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    top = (
-        counted.where((F.col("toxic") >= 3) | (F.col("entry") == F.lit(b"")))
-        .orderBy(F.col("entry") != F.lit(b""), F.desc(F.log1p("toxic") * odds), "entry")
-        .limit(LEXICON_SIZE + 1)
-        .collect()
-    )
+    counted = stored(counted)
     lexicon: dict[bytes, float] = {}
-    if top and bytes(top[0]["entry"]) == b"":
-        n_toxic, n_clean = top[0]["toxic"], top[0]["clean"]
+    whole = counted.where(F.col("entry") == F.lit(b"")).first()
+    if whole:
+        n_toxic, n_clean = whole["toxic"], whole["clean"]
         least = max(3, round(0.006 * n_toxic))
-        shift = np.log((n_toxic + 1) / (n_clean + 1))
-        for r in top[1:]:
-            weight = float(np.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - shift)
-            if r["toxic"] >= least and weight >= MIN_ODDS:
-                lexicon[bytes(r["entry"])] = weight
+        shift = float(np.log((n_toxic + 1) / (n_clean + 1)))
+        weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - F.lit(shift)
+        good = (F.col("toxic") >= least) & (weight >= MIN_ODDS) & (F.col("entry") != F.lit(b""))
+        lexicon = {bytes(r["entry"]): r["weight"] for r in counted.where(good).select("entry", weight.alias("weight")).collect()}
     blank = Model(lexicon, np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES), np.ones(N_FEATURES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

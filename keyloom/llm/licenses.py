@@ -6,8 +6,9 @@ their places in the templates, and anchors of one template that go forward in bo
 covered spans. Word pairs that stand in no template can't be inside a match of two words, so only stretches of known
 pairs are streamed.
 
-Defined cases: null, empty and wordless texts have no words, no labels and score 0; equal rows are scored alike; an empty
-table gives none; only doc_id and text are read. Ties between spans go to the earlier one.
+Defined cases: null, empty and wordless texts have no words, no labels and score 0; a very long text takes time in
+proportion to its words; equal rows are scored alike; an empty table gives none; only doc_id and text are read, so other
+columns may have any names. Ties between spans go to the earlier one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm.common import blocks, read_table, text_rows, words_of
+from keyloom.llm.license_texts import FULL_TEXTS
 
 #: (label, phrase): their places are always found.
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -64,6 +66,7 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "All rights reserved"),
+    *FULL_TEXTS,
 )
 
 MIN_MATCH = 3
@@ -186,23 +189,32 @@ class Automaton:
         return {"places": places, "spans": self.chain(anchors)}
 
     def chain(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, share covered) of chains that cover enough."""
+        """(template, start, end, share covered) of chains that cover enough. Anchors come by start, so a chain that is over
+        MAX_GAP words behind is never looked at again."""
         spans = []
         open_: dict[int, list[list[int]]] = {}
+
+        def close(t: int, chains: list[list[int]]) -> None:
+            for c in chains:
+                if c[3] >= min(ENOUGH_WORDS, MIN_COVER * self.sizes[t]):
+                    spans.append((t, c[0], c[1], min(1.0, c[3] / self.sizes[t])))
+
         for t, start, there, n in sorted(anchors, key=lambda a: (a[1], -a[3], a[0], a[2])):
-            chains = open_.setdefault(t, [])
+            chains = open_.get(t, [])
+            if any(start - c[1] > MAX_GAP for c in chains):
+                close(t, [c for c in chains if start - c[1] > MAX_GAP])
+                chains = [c for c in chains if start - c[1] <= MAX_GAP]
+            open_[t] = chains
             best = None
             for c in chains:  # c: start, end, end in the template, words covered
-                if start >= c[1] and there >= c[2] and start - c[1] <= MAX_GAP and there - c[2] <= 2 * MAX_GAP:
+                if start >= c[1] and there >= c[2] and there - c[2] <= 2 * MAX_GAP:
                     best = c if best is None or c[3] > best[3] else best
             if best is None:
                 chains.append([start, start + n, there + n, n])
             else:
                 best[1:] = [start + n, there + n, best[3] + n]
         for t, chains in open_.items():
-            for c in chains:
-                if c[3] >= min(ENOUGH_WORDS, MIN_COVER * self.sizes[t]):
-                    spans.append((t, c[0], c[1], min(1.0, c[3] / self.sizes[t])))
+            close(t, chains)
         return sorted(spans, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -53,3 +53,25 @@ def test_spans(spark):
     got = {r.doc_id: r for r in L.scan_documents(docs, A).collect()}
     assert got[1].labels == "mit" and got[1].spans[0].start == 2 and got[1].spans[0].cover > 0.4
     assert got[2].labels == "mit" and got[2].score == 1.0 and got[3].labels == "" and got[3].score == 0
+
+
+def test_full_texts_are_found():
+    for label, text in L.FULL_TEXTS:
+        words = [A.words[w] for w in words_of(text.encode())]
+        found = A.scan([(0, words)])["spans"]
+        best = max(found, key=lambda x: (x[2] - x[1], x[3]))
+        assert (A.labels[best[0]], best[1], best[2]) == (label, 0, len(words)) and best[3] == 1.0, label
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    run = [A.words[w] for w in words_of(L.TEMPLATES[2][1].encode())]
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert len(A.scan([(0, (run + [0] * 20) * n)])["spans"]) >= n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(4000) < 12 * max(seconds(1000), 0.02)

@@ -35,6 +35,12 @@ def expire_reply(expires_at: Column, now: Column, present: Column) -> Column:
     return (F.coalesce(present, F.lit(False)) & (expires_at >= now)).cast("int")
 
 
+def persist(expires_at: Column, now: Column, present: Column) -> Column:
+    """struct<expires_at, reply>: a key that is there loses its expiry and answers 1; any other answers 0."""
+    there = F.coalesce(present, F.lit(False)) & alive(expires_at, now)
+    return F.struct(F.when(~there, expires_at).alias("expires_at"), there.cast("int").alias("reply"))
+
+
 def clock(now: Column) -> Column:
     """[unix seconds, microseconds of the second]."""
     return F.array(F.unix_seconds(now), F.pmod(F.unix_micros(now), F.lit(1_000_000)))

@@ -6,15 +6,19 @@ numbers, text (bytes as Latin-1), null, arrays, or {"error": ...}.
 
 Commands of one key run in the order of seq where the key's rows meet; the stream of a key's commands is folded one by one,
 so memory is the key's value. Commands of many keys that act on each alone (MGET, MSET, DEL, UNLINK, EXISTS) are taken
-apart before and their replies put together after. Those that need keys together (RENAME, RENAMENX, MSETNX, KEYS, DBSIZE,
-FLUSHALL, FLUSHDB, SAVE and INFO kinds) part the batch: what is before runs first. A batch may hold BARRIERS of them at
-most, as each is a pass of its own.
+apart before and their replies put together after. PING, ECHO, TIME, LASTSAVE and the SAVE kinds need no key and are
+answered where they are. Those that need keys together (RENAME, RENAMENX, MSETNX, KEYS, DBSIZE, FLUSHALL, FLUSHDB and INFO)
+part the batch: what is before runs first, and each is a pass of its own.
+
+A command with a wrong number of arguments, a number that is none, or an argument out of range answers with an error and
+changes nothing; it never fails the batch.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,13 +28,28 @@ from pyspark.sql import functions as F
 from keyloom.functions.glob import glob_regex
 from keyloom.sources.shared import materialise
 
-BARRIERS = 64
 KEYSPACE = "key binary, kind string, items array<binary>, expires_ms long"
 REPLIES = "seq long, reply string"
 MAX_VALUE, MAX_BIT = 512 << 20, 536_870_912
 
 MANY = {"mget", "mset", "del", "unlink", "exists"}
-TOGETHER = {"rename", "renamenx", "msetnx", "keys", "dbsize", "flushall", "flushdb", "info", "save", "bgsave", "bgrewriteaof", "lastsave", "time", "echo", "ping"}
+TOGETHER = {"rename", "renamenx", "msetnx", "keys", "dbsize", "flushall", "flushdb", "info"}
+KEYLESS = {"save", "bgsave", "bgrewriteaof", "lastsave", "time", "echo", "ping"}
+#: Least and most arguments, the key included; None: any number.
+ARGUMENTS = {
+    "get": (1, 1), "set": (2, None), "setnx": (2, 2), "setex": (3, 3), "psetex": (3, 3), "getset": (2, 2), "strlen": (1, 1),
+    "append": (2, 2), "getrange": (3, 3), "setrange": (3, 3), "incr": (1, 1), "decr": (1, 1), "incrby": (2, 2),
+    "decrby": (2, 2), "getbit": (2, 2), "setbit": (3, 3), "bitcount": (1, 3), "ttl": (1, 1), "pttl": (1, 1),
+    "persist": (1, 1), "expire": (2, 2), "pexpire": (2, 2), "expireat": (2, 2), "pexpireat": (2, 2), "lpush": (2, None),
+    "rpush": (2, None), "lpushx": (2, None), "rpushx": (2, None), "lpop": (1, 2), "rpop": (1, 2), "llen": (1, 1),
+    "lindex": (2, 2), "lset": (3, 3), "lrange": (3, 3), "lpos": (2, None), "sadd": (2, None), "srem": (2, None),
+    "scard": (1, 1), "sismember": (2, 2), "smismember": (2, None), "smembers": (1, 1), "spop": (1, 2),
+    "srandmember": (1, 2), "rename": (2, 2), "renamenx": (2, 2), "msetnx": (2, None), "mset": (2, None), "keys": (1, 1),
+    "dbsize": (0, 0), "flushall": (0, 1), "flushdb": (0, 1), "info": (0, None), "save": (0, 0), "bgsave": (0, 1),
+    "bgrewriteaof": (0, 0), "lastsave": (0, 0), "time": (0, 0), "echo": (1, 1), "ping": (0, 1),
+}
+INTEGER = re.compile(rb"[+-]?[0-9]+")
+WRONG_NUMBER = "wrong number of arguments"
 
 
 class CommandError(Exception):
@@ -38,20 +57,27 @@ class CommandError(Exception):
 
 
 def number(raw: bytes) -> int:
-    try:
-        value = int(raw)
-    except ValueError:
-        raise CommandError("value is not an integer") from None
+    if len(raw) > 40 or not INTEGER.fullmatch(raw):
+        raise CommandError("value is not an integer")
+    value = int(raw)
     if not -(2**63) <= value < 2**63:
         raise CommandError("value is out of range")
     return value
 
 
+def checked(cmd: str, n: int) -> None:
+    """Whether a command may have n arguments."""
+    least, most = ARGUMENTS.get(cmd, (1, None))
+    if n < least or (most is not None and n > most) or (cmd in ("mset", "msetnx") and n % 2):
+        raise CommandError(WRONG_NUMBER)
+
+
 class Value:
-    """One key's value with its expiry."""
+    """One key's value with its expiry. The items of a set are a set until they are stored."""
 
     def __init__(self, kind: str | None = None, items: list[bytes] | None = None, expires: int | None = None):
-        self.kind, self.items, self.expires = kind, items or [], expires
+        self.kind, self.expires = kind, expires
+        self.items = set(items or ()) if kind == "set" else items or []
 
     def at(self, now: int) -> None:
         if self.kind and self.expires is not None and self.expires < now:
@@ -60,10 +86,13 @@ class Value:
     def drop(self) -> None:
         self.kind, self.items, self.expires = None, [], None
 
-    def of(self, kind: str) -> list[bytes]:
+    def of(self, kind: str) -> list[bytes] | set[bytes]:
         if self.kind not in (None, kind):
             raise CommandError("Malformed command invocation")
-        return self.items
+        return self.items if self.kind else set() if kind == "set" else []
+
+    def stored(self) -> list[bytes]:
+        return sorted(self.items) if self.kind == "set" else self.items
 
     @property
     def text(self) -> bytes:
@@ -106,6 +135,8 @@ def run_one(v: Value, cmd: str, args: list[bytes], now: int, seq: int) -> object
         while i < len(args):
             word = args[i].decode("latin-1").lower()
             if word in ("ex", "px"):
+                if i + 1 == len(args):
+                    raise CommandError("syntax error")
                 ttl = number(args[i + 1]) * (1000 if word == "ex" else 1)
                 i += 1
             elif word in ("nx", "xx", "keepttl", "get"):
@@ -156,7 +187,7 @@ def run_one(v: Value, cmd: str, args: list[bytes], now: int, seq: int) -> object
         return len(v.text)
     if cmd in ("incr", "decr", "incrby", "decrby"):
         step = number(args[0]) if cmd.endswith("by") else 1
-        value = number(v.text or b"0") + (step if cmd.startswith("incr") else -step)
+        value = number(v.text if v.kind else b"0") + (step if cmd.startswith("incr") else -step)
         if not -(2**63) <= value < 2**63:
             raise CommandError("increment would overflow")
         v.put(b"%d" % value)
@@ -173,7 +204,9 @@ def run_one(v: Value, cmd: str, args: list[bytes], now: int, seq: int) -> object
             v.put(bytes(raw))
         return old
     if cmd == "bitcount":
-        part = v.text[span(len(v.text), number(args[0]), number(args[1]))] if len(args) > 1 else v.text
+        if len(args) == 1:
+            raise CommandError(WRONG_NUMBER)
+        part = v.text[span(len(v.text), number(args[0]), number(args[1]))] if args else v.text
         return sum(x.bit_count() for x in part)
     if cmd in ("ttl", "pttl"):
         left = -2 if not v.kind else -1 if v.expires is None else v.expires - now
@@ -202,6 +235,8 @@ def run_list(v: Value, cmd: str, args: list[bytes]) -> object:
         return len(v.items)
     if cmd in ("lpop", "rpop"):
         n = number(args[0]) if args else 1
+        if n < 0:
+            raise CommandError("value is out of range, must be positive")
         if not v.kind:
             return None
         taken = items[:n] if cmd == "lpop" else items[::-1][:n]
@@ -221,10 +256,14 @@ def run_list(v: Value, cmd: str, args: list[bytes]) -> object:
     if cmd == "lrange":
         return items[span(len(items), number(args[0]), number(args[1]))]
     if cmd == "lpos":
+        if len(args) % 2 == 0 or any(a.lower() not in (b"rank", b"count", b"maxlen") for a in args[1::2]):
+            raise CommandError("syntax error")
         options = {args[i].decode("latin-1").lower(): number(args[i + 1]) for i in range(1, len(args), 2)}
         rank, count, limit = options.get("rank", 1), options.get("count"), options.get("maxlen", 0)
         if rank == 0:
             raise CommandError("RANK can't be zero")
+        if limit < 0 or (count or 0) < 0:
+            raise CommandError("COUNT and MAXLEN can't be negative")
         order = list(enumerate(items))[:: 1 if rank > 0 else -1][: limit or None]
         hits = [i for i, x in order if x == args[0]][abs(rank) - 1 :]
         return (hits[0] if hits else None) if count is None else hits[: count or None]
@@ -234,10 +273,13 @@ def run_list(v: Value, cmd: str, args: list[bytes]) -> object:
 def run_set(v: Value, cmd: str, args: list[bytes], seq: int) -> object:
     members = v.of("set")
     if cmd in ("sadd", "srem"):
-        new = set(args)
-        both = set(members) | new if cmd == "sadd" else set(members) - new
-        v.put_items("set", sorted(both))
-        return abs(len(both) - len(members))
+        new, before = set(args), len(members)
+        if cmd == "sadd":
+            members |= new
+        else:
+            members -= new
+        v.put_items("set", members)
+        return abs(len(members) - before)
     if cmd == "scard":
         return len(members)
     if cmd == "sismember":
@@ -245,12 +287,17 @@ def run_set(v: Value, cmd: str, args: list[bytes], seq: int) -> object:
     if cmd == "smismember":
         return [int(a in members) for a in args]
     if cmd == "smembers":
-        return list(members)
+        return sorted(members)
     if cmd in ("spop", "srandmember"):
-        n = number(args[0]) if args else 1
-        taken = random.Random(seq).sample(members, min(n, len(members)))
+        n, draw = number(args[0]) if args else 1, random.Random(seq)
+        if n < 0 and (cmd == "spop" or not members):
+            if not members:
+                return []
+            raise CommandError("value is out of range, must be positive")
+        ordered = sorted(members)
+        taken = draw.choices(ordered, k=-n) if n < 0 else draw.sample(ordered, min(n, len(ordered)))
         if cmd == "spop":
-            v.put_items("set", [m for m in members if m not in set(taken)])
+            v.put_items("set", members - set(taken))
         return taken if args else taken[0] if taken else None
     raise CommandError(f"unknown command {cmd}")
 
@@ -274,7 +321,7 @@ def _per_key(keyspace: DataFrame, commands: DataFrame) -> DataFrame:
             return {"seq": None, "part": None, "reply": None, "key": None, "kind": None, "items": None, "expires_ms": None} | x
 
         def close() -> list[dict]:
-            return [row(key=key, kind=v.kind, items=v.items, expires_ms=v.expires)] if v.kind else []
+            return [row(key=key, kind=v.kind, items=v.stored(), expires_ms=v.expires)] if v.kind else []
 
         for batch in batches:
             out = []
@@ -287,10 +334,12 @@ def _per_key(keyspace: DataFrame, commands: DataFrame) -> DataFrame:
                     continue
                 try:
                     if r["key"] is None:
-                        raise CommandError("wrong number of arguments")
+                        raise CommandError(WRONG_NUMBER)
+                    if r["cmd"] not in MANY:
+                        checked(r["cmd"], 1 + len(r["args"]))
                     reply = run_one(v, r["cmd"], list(r["args"]), r["at_ms"], r["seq"])
-                except (CommandError, IndexError) as e:
-                    reply = {"error": str(e) if isinstance(e, CommandError) else "wrong number of arguments"}
+                except (CommandError, IndexError, ValueError, OverflowError) as e:
+                    reply = {"error": WRONG_NUMBER if isinstance(e, IndexError) else str(e)}
                 out.append(row(seq=r["seq"], part=r["part"], reply=shown(reply)))
             yield pa.RecordBatch.from_pylist(out, OUT)
         yield pa.RecordBatch.from_pylist(close(), OUT)
@@ -309,6 +358,8 @@ def _epoch(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFra
         F.col("cmd") == "mset",
         F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(args) / 2) - 1, F.lit(0)).cast("int")), lambda i: F.slice(args, 2 * i + 1, 2)),
     ).when(F.col("cmd").isin(*MANY), F.transform(args, lambda a: F.array(a))).otherwise(F.array(args))
+    # an MSET that lacks a value sets nothing
+    apart = F.when((F.col("cmd") == "mset") & (F.size(args) % 2 == 1), F.array().cast("array<array<binary>>")).otherwise(apart)
     parts = commands.select("seq", "at_ms", "cmd", F.posexplode_outer(apart).alias("part", "own"))
     parts = parts.select(
         "seq", F.coalesce("part", F.lit(0)).alias("part"), "at_ms", "cmd", F.get("own", F.lit(0)).alias("key"), F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))).alias("args")
@@ -334,18 +385,8 @@ def _together(keyspace: DataFrame, seq: int, now: int, cmd: str, args: list[byte
         return there, there.count()
     if cmd in ("flushall", "flushdb"):
         return there.limit(0), "OK"
-    if cmd in ("save", "bgsave", "bgrewriteaof"):
-        return there, "OK"
-    if cmd == "lastsave":
-        return there, now // 1000
-    if cmd == "time":
-        return there, [now // 1000, now % 1000 * 1000]
     if cmd == "info":
         return there, f"# Keyspace\nkeys={there.count()}"
-    if cmd == "echo":
-        return there, args[0]
-    if cmd == "ping":
-        return there, args[0] if args else "PONG"
     if cmd == "keys":
         names = there.where(F.rlike(F.decode("key", "ISO-8859-1"), F.lit(glob_regex(args[0].decode("latin-1")))))
         return there, names.agg(F.to_json(F.array_sort(F.collect_list(F.decode("key", "ISO-8859-1")))).alias("r")).first()["r"]
@@ -362,14 +403,37 @@ def _together(keyspace: DataFrame, seq: int, now: int, cmd: str, args: list[byte
     return there.where(~holds([source, target])).unionByName(moved), 1 if cmd == "renamenx" else "OK"
 
 
-def run_commands(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keyspace after, replies)."""
+def _keyless(commands: DataFrame, saved_at: int | None) -> DataFrame:
+    """Replies of commands that need no key, answered where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, replies = [], []
+            for seq, now, cmd, args in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                try:
+                    checked(cmd, len(args or []))
+                    if cmd == "lastsave":
+                        reply: object = now // 1000 if saved_at is None else saved_at
+                    elif cmd == "time":
+                        reply = [now // 1000, now % 1000 * 1000]
+                    else:
+                        reply = args[0] if args and cmd in ("echo", "ping") else "PONG" if cmd == "ping" else "OK"
+                except CommandError as e:
+                    reply = {"error": str(e)}
+                seqs.append(seq)
+                replies.append(shown(reply))
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(replies, pa.string())], names=["seq", "reply"])
+
+    return commands.where(F.col("cmd").isin(*KEYLESS)).select("seq", "at_ms", "cmd", "args").mapInArrow(run, REPLIES)
+
+
+def run_commands(keyspace: DataFrame, commands: DataFrame, saved_at: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keyspace after, replies). saved_at: Unix seconds that LASTSAVE answers, as a store's last_commit(); without it the
+    time of the command."""
     commands = commands.withColumn("cmd", F.lower("cmd"))
-    barriers = commands.where(F.col("cmd").isin(*TOGETHER)).orderBy("seq").limit(BARRIERS + 1).collect()
-    if len(barriers) > BARRIERS:
-        raise ValueError(f"over {BARRIERS} commands that need keys together; send them in several batches")
-    rest = commands.where(~F.col("cmd").isin(*TOGETHER))
-    spark, replies, after = keyspace.sparkSession, [], None
+    barriers = commands.where(F.col("cmd").isin(*TOGETHER)).orderBy("seq").collect()
+    rest = commands.where(~F.col("cmd").isin(*TOGETHER, *KEYLESS))
+    spark, replies, after = keyspace.sparkSession, [_keyless(commands, saved_at)], None
     for b in [*barriers, None]:
         part = rest if after is None else rest.where(F.col("seq") > after)
         part = part if b is None else part.where(F.col("seq") < b["seq"])
@@ -378,9 +442,11 @@ def run_commands(keyspace: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
         if b is not None:
             after = b["seq"]
             try:
-                keyspace, reply = _together(keyspace, b["seq"], b["at_ms"], b["cmd"], [bytes(a) for a in b["args"]])
+                args = [bytes(a) for a in b["args"] or []]
+                checked(b["cmd"], len(args))
+                keyspace, reply = _together(keyspace, b["seq"], b["at_ms"], b["cmd"], args)
                 reply = reply if b["cmd"] == "keys" else shown(reply)
-            except (ValueError, IndexError) as e:
+            except (CommandError, ValueError, IndexError) as e:
                 reply = shown({"error": str(e)})
             replies.append(spark.createDataFrame([(b["seq"], reply)], REPLIES))
     out = replies[0]

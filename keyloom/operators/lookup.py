@@ -67,3 +67,16 @@ def matching(snapshot: DataFrame, pattern: str, name: str = KEY) -> DataFrame:
 
 def decode(snapshot: DataFrame, key: Column, value: Column) -> DataFrame:
     return snapshot.select(key.alias(KEY), value.alias(VALUE))
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 1, under an order. Ranges of the order are ranked apart; each is moved by the sizes of those
+    before it, one number a partition."""
+    part = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] for r in part.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    moved = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("__part")) if before else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return part.withColumn("place", (inside + moved).cast("long")).drop("__part")

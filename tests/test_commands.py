@@ -79,3 +79,28 @@ def test_odd_commands(spark):
     assert got[0] == "OK" and all("error" in got[i] for i in (1, 2, 3)) and "keys=0" in got[4] and got[5] == 0
     after, got = play(spark, ("PING", "x"))
     assert got == ["x"] and after.isEmpty()
+
+
+def test_bad_arguments_answer_with_errors(spark):
+    bad = [
+        ("INCR", "u"), ("INCR", "e"), ("SET", "u"), ("MSET", "a", 1, "b"), ("SPOP", "s", -1), ("LPOP", "l", -1), ("RPOP", "l", -2), ("BITCOUNT", "u", 1),
+        ("LPOS", "l", "x", "NOPE", 1), ("LPOS", "l", "x", "RANK"), ("GET", "u", "v"), ("EXPIRE", "u", "1 "), ("SET", "u", 1, "EX"), ("LPOS", "l", "x", "COUNT", -1),
+        ("INCRBY", "u", "9" * 5000), ("RENAME", "u"), ("MSETNX", "q"), ("ECHO",), ("KEYS",),
+    ]
+    start = [("SET", "u", "1_0"), ("SET", "e", ""), ("SADD", "s", "a", "b"), ("RPUSH", "l", "x", "y")]
+    _, got = play(spark, *start, *bad, ("GET", "u"), ("MGET", "a", "b"), ("SCARD", "s"), ("LLEN", "l"), ("SRANDMEMBER", "s", -5), ("SRANDMEMBER", "none", -5))
+    assert got[:4] == ["OK", "OK", 2, 2]
+    replies = got[4 : 4 + len(bad)]
+    assert all(isinstance(r, dict) and "error" in r for r in replies), [b for b, r in zip(bad, replies, strict=True) if not isinstance(r, dict)]
+    assert got[-6:-2] == ["1_0", [None, None], 2, 2] and len(got[-2]) == 5 and set(got[-2]) <= {"a", "b"} and got[-1] == []
+
+
+def test_many_commands_without_keys(spark):
+    after, got = play(spark, *[("PING",)] * 70, ("ECHO", "x"), (5000, "TIME"), (5000, "LASTSAVE"), ("SAVE",), ("SET", "a", 1))
+    assert got[:70] == ["PONG"] * 70 and got[70:] == ["x", [5, 0], 5, "OK", "OK"] and after.count() == 1
+
+
+def test_large_sets_are_updated_in_place(spark):
+    lines = [("SADD", "s", f"m{i}") for i in range(3000)] + [("SREM", "s", f"m{i}") for i in range(0, 3000, 2)]
+    after, got = play(spark, *lines)
+    assert got == [1] * 4500 and [bytes(x) for x in after.first()["items"]] == sorted(b"m%d" % i for i in range(1, 3000, 2))

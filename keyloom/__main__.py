@@ -1,4 +1,4 @@
-"""python -m keyloom info|compact|repair|vacuum|pack|dump|restore ROOT [PATH] [--tablespace NAME | --all]"""
+"""python -m keyloom info|compact|repair|vacuum|pack|dump|restore|unlock ROOT [PATH] [--tablespace NAME | --all]"""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ import json
 from pyspark.sql import SparkSession
 
 from keyloom.sources import dump
+from keyloom.sources.files import Files
 from keyloom.sources.store import Store, tablespaces
 
 
 def run(spark: SparkSession, argv: list[str]) -> list[dict]:
     """One record for each tablespace worked on."""
     p = argparse.ArgumentParser(prog="keyloom", description=__doc__)
-    p.add_argument("command", choices=("info", "compact", "repair", "vacuum", "pack", "dump", "restore"))
+    p.add_argument("command", choices=("info", "compact", "repair", "vacuum", "pack", "dump", "restore", "unlock"))
     p.add_argument("root")
     p.add_argument("path", nargs="?")
     p.add_argument("--tablespace", default="default")
@@ -27,6 +28,11 @@ def run(spark: SparkSession, argv: list[str]) -> list[dict]:
     for name in tablespaces(spark, a.root) if a.all else [a.tablespace]:
         path = f"{a.path}.{name}" if a.all and a.path else a.path
         mode = {"info": "readonly", "pack": "readonly", "dump": "readonly", "repair": "repair", "restore": "readwrite"}.get(a.command, "existing")
+        if a.command == "unlock":  # for a writer that is known to be gone
+            files = Files(spark, f"{a.root.rstrip('/')}/{name}")
+            out.append({"tablespace": name, "unlocked": files.exists("LOCK")})
+            files.delete("LOCK")
+            continue
         with Store(spark, a.root, mode, name) as s:
             done: dict = {"tablespace": name, "generation": s.generation}
             if a.command == "info":

@@ -42,11 +42,19 @@ def snapshot(log: DataFrame, key: str = KEY, seq: str = SEQ, deleted: str = DELE
 
 def merge_runs(runs: list[DataFrame], key: str = KEY, seq: str | None = None) -> DataFrame:
     """One row per key of several runs, the first run being the newest; inside a run the largest seq wins."""
+    return _best(runs, key, ("__rank", seq) if seq else ("__rank",))
+
+
+def merge_by_seq(runs: list[DataFrame], key: str = KEY, seq: str = SEQ) -> DataFrame:
+    """One row per key of several runs: the largest seq wins, whatever run it is in; of equal ones that of the newer run."""
+    return _best(runs, key, (seq, "__rank"))
+
+
+def _best(runs: list[DataFrame], key: str, order: tuple[str, ...]) -> DataFrame:
     ranked = [r.withColumn("__rank", F.lit(-i)) for i, r in enumerate(runs)]
     both = reduce(DataFrame.unionByName, ranked)
-    order = F.struct("__rank", seq) if seq else F.struct("__rank")
     others = [c for c in runs[0].columns if c != key]
-    best = both.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__row"))
+    best = both.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("__row"))
     return best.select(key, *(F.col(f"__row.{c}").alias(c) for c in others))
 
 

@@ -411,11 +411,12 @@ def count_keys(spark, d):
     "info_stats",
     """SELECT count(*)::BIGINT AS n, min(8)::BIGINT AS key_min, max(8)::BIGINT AS key_max, (8 * count(*))::BIGINT AS key_sum,
     min(strlen(text))::BIGINT AS value_min, max(strlen(text))::BIGINT AS value_max, sum(strlen(text))::BIGINT AS value_sum,
-    count(*) FILTER (strlen(text) <= 9)::BIGINT AS n_inlined FROM documents""",
+    count(*) FILTER (strlen(text) <= 9)::BIGINT AS n_inlined, 8::DOUBLE AS key_avg,
+    sum(strlen(text))::DOUBLE / count(text) AS value_avg FROM documents""",
 )
 def info_stats(spark, d):
     rows = table(spark, d, "documents").select(codecs.encode_integer(F.col("doc_id"), "i64").alias("key"), F.col("text").alias("value"))
-    return info.statistics(rows).drop("key_avg", "value_avg")
+    return info.statistics(rows)
 
 
 # --- strings and integers ---------------------------------------------------------------------------------------------
@@ -512,11 +513,10 @@ def expire_at(spark, d):
     return timed(spark, d).select("key", expiry.expire_reply(at, now(), F.lit(True)).alias("reply"))
 
 
-@query("persist", f"SELECT key, -1::BIGINT AS ttl, 1 AS reply FROM ({TIMED}) WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{NOW}'")
+@query("persist", f"SELECT key, (alive)::INT AS reply, CASE WHEN NOT alive THEN epoch_us(expires_at) END AS expires_us FROM (SELECT *, coalesce(expires_at >= TIMESTAMP '{NOW}', true) AS alive FROM ({TIMED}))")
 def persist(spark, d):
-    there = timed(spark, d).where(expiry.alive(F.col("expires_at"), now()))
-    cleared = there.select("key", F.lit(None).cast("timestamp").alias("expires_at"), F.lit(1).alias("reply"))
-    return cleared.select("key", expiry.remaining(F.col("expires_at"), now(), F.lit(True)).alias("ttl"), "reply")
+    done = timed(spark, d).select("key", expiry.persist(F.col("expires_at"), now(), F.lit(True)).alias("p"))
+    return done.select("key", F.col("p.reply").alias("reply"), F.unix_micros("p.expires_at").alias("expires_us"))
 
 
 @query("time_parts", f"SELECT 1705276800::BIGINT AS seconds, 0::BIGINT AS micros")
@@ -615,8 +615,9 @@ def smismember(spark, d):
 
 @query("srandmember_n", f"SELECT key, least(count(*), 2)::BIGINT AS n FROM ({MEMBERS}) GROUP BY 1")
 def srandmember_n(spark, d):
-    """The draw itself has no SQL; its sizes have."""
-    return sets.random_members(members(spark, d), 2, seed=7).groupBy("key").agg(F.count("*").alias("n"))
+    """Which members are drawn has no SQL; that they are distinct members has: others are not counted."""
+    drawn = sets.random_members(members(spark, d), 2, seed=7)
+    return drawn.distinct().join(members(spark, d), ["key", "member"], "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("spop_rest", f"SELECT key, (count(*) - 1)::BIGINT AS n FROM ({MEMBERS}) GROUP BY 1 HAVING count(*) > 1")
@@ -624,6 +625,13 @@ def spop_rest(spark, d):
     return sets.pop(members(spark, d), 1, seed=7)[1].groupBy("key").agg(F.count("*").alias("n"))
 
 
+@query("spop_whole", "SELECT DISTINCT user_id AS key, event_type AS member, 1::BIGINT AS n FROM events")
+def spop_whole(spark, d):
+    """What is popped and what stays are together the sets, each member once."""
+    taken, rest = sets.pop(all_members(spark, d), 2, seed=7)
+    return taken.select("key", "member").unionByName(rest.select("key", "member")).groupBy("key", "member").agg(F.count("*").alias("n"))
+
+
 # --- whole tables ------------------------------------------------------------------------------------------------------
 # The set and mutation queries above take a part of the rows by a remainder, as their SQL states. These take all: one set
 # of all events; for pairs, the first day's events and all others; all orders.
@@ -798,11 +806,10 @@ def codec_msgpack(spark, d):
     return raw.select(F.col("event_id").alias("key"), back["n"].alias("n"), back["t"][0].alias("t"))
 
 
-@query("scan_custom_order", "SELECT c_custkey AS key, row_number() OVER (ORDER BY reverse(c_custkey::VARCHAR)) AS place FROM customer QUALIFY place <= 10")
+@query("scan_custom_order", "SELECT c_custkey AS key, row_number() OVER (ORDER BY reverse(c_custkey::VARCHAR)) AS place FROM customer")
 def scan_custom_order(spark, d):
-    """The first ten keys under another comparer."""
-    first = lookup.scan(customers(spark, d), order=lambda k: F.reverse(k.cast("string"))).limit(10)
-    return first.select("key", F.row_number().over(Window.orderBy(F.reverse(F.col("key").cast("string")))).cast("long").alias("place"))
+    """All keys under another comparer."""
+    return lookup.ranked(customers(spark, d), F.reverse(F.col("key").cast("string"))).select("key", "place")
 
 
 # --- stores, dumps and streams ----------------------------------------------------------------------------------------
@@ -852,6 +859,45 @@ def store_range_scan(spark, d):
         return lookup.key_range(s.snapshot(), 100, 300)
 
 
+@query(
+    "store_late_ops",
+    f"SELECT user_id AS key, floor(value)::BIGINT AS value FROM (SELECT *, {LAST} AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
+)
+def store_late_ops(spark, d):
+    """The events reach the store in the wrong order, the last ones first; the largest seq wins all the same."""
+    root, ops = scratch(spark, "store"), log(spark, d).select("seq", "key", "value", "deleted")
+    with Store(spark, root, "create", key=T.LongType(), value=T.LongType()) as s:
+        for part in (2, 0, 1):
+            s.apply(ops.where(F.col("seq") % 3 == part))
+    return Store(spark, root, "readonly").snapshot()
+
+
+@query("store_broken_log", f"SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS value FROM customer")
+def store_broken_log(spark, d):
+    """The last of three commits can't be read; the store opens with what was before it."""
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, "create", **KINDS) as s:
+        s.put(rows)
+        s.put(rows.where("key % 2 = 0").withColumn("value", F.upper("value")))
+        s.remove(rows.select("key"))
+        lost = s.manifest["deltas"][-1]
+        s.files.delete(lost)
+        s.files.create(f"{lost}/part-0.parquet", "no Parquet")
+    return Store(spark, root, "readonly", broken="stop").snapshot()
+
+
+@query("store_levels_merged", f"{NAMES_SQL} WHERE c_custkey % 5 > 0")
+def store_levels_merged(spark, d):
+    """Many small commits: their deltas are merged level by level, and removals last through the merges."""
+    root, rows = scratch(spark, "store"), customers(spark, d)
+    with Store(spark, root, "create", auto_compact=3, **KINDS) as s:
+        s.put(rows.withColumn("value", F.lit("old")))
+        for part in range(5):
+            own = rows.where(F.col("key") % 5 == part)
+            s.remove(own.select("key")) if part == 0 else s.put(own)
+        return s.snapshot()
+
+
 @query("store_levels", "SELECT * FROM (VALUES ('base', 1::BIGINT), ('delta', 2::BIGINT)) t(kind, n)")
 def store_levels(spark, d):
     root, rows = scratch(spark, "store"), customers(spark, d)
@@ -982,6 +1028,66 @@ def commands_setbit_bitcount(spark, d):
     return after.select(F.decode("key", "UTF-8").alias("key"), bits.bit_count(F.element_at("items", 1)).alias("n"))
 
 
+def replies(spark, d, cmd: str, *args) -> DataFrame:
+    """Replies to a command on the user's key for each event, after one SET to its event_id for each."""
+    sets_ = event_commands(spark, d, "set", F.col("key"), F.col("seq"))
+    asked = event_commands(spark, d, cmd, F.col("key"), *args).withColumn("seq", F.col("seq") + F.lit(10**12))
+    return commands.run_commands(no_keys(spark), sets_.unionByName(asked))[1].where(F.col("seq") >= 10**12).select((F.col("seq") - 10**12).alias("seq"), "reply")
+
+
+LAST_ID = "max(event_id) OVER (PARTITION BY user_id)"
+
+
+@query("commands_get", f"SELECT event_id AS seq, '\"' || {LAST_ID} || '\"' AS reply FROM events")
+def commands_get(spark, d):
+    return replies(spark, d, "get")
+
+
+@query("commands_strlen", f"SELECT event_id AS seq, length(({LAST_ID})::VARCHAR)::VARCHAR AS reply FROM events")
+def commands_strlen(spark, d):
+    return replies(spark, d, "strlen")
+
+
+@query("commands_ttl", "SELECT event_id AS seq, '-1' AS reply FROM events")
+def commands_ttl(spark, d):
+    return replies(spark, d, "ttl")
+
+
+@query("commands_exists", "SELECT event_id AS seq, '1' AS reply FROM events")
+def commands_exists(spark, d):
+    return replies(spark, d, "exists")
+
+
+@query("commands_errors", """SELECT event_id AS seq, '{"error": "value is not an integer"}' AS reply FROM events""")
+def commands_errors(spark, d):
+    """INCRBY of a step that is no number, on every key: an error each, and the batch goes on."""
+    return replies(spark, d, "incrby", F.lit("1_0"))
+
+
+@query(
+    "commands_lpos",
+    """SELECT event_id AS seq, coalesce((min(r) FILTER (event_type = 'click') OVER (PARTITION BY user_id) - 1)::VARCHAR, 'null') AS reply
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)""",
+)
+def commands_lpos(spark, d):
+    """The place of the first click in each user's list of events."""
+    pushed = event_commands(spark, d, "rpush", F.col("key"), F.col("event_type"))
+    asked = event_commands(spark, d, "lpos", F.col("key"), F.lit("click")).withColumn("seq", F.col("seq") + F.lit(10**12))
+    got = commands.run_commands(no_keys(spark), pushed.unionByName(asked))[1].where(F.col("seq") >= 10**12)
+    return got.select((F.col("seq") - 10**12).alias("seq"), "reply")
+
+
+@query("commands_spop", "SELECT user_id::VARCHAR AS key, greatest(count(DISTINCT event_type) - 2, 0)::BIGINT AS n FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 2")
+def commands_spop(spark, d):
+    """Sizes of the sets after one SPOP of two members on each."""
+    added = event_commands(spark, d, "sadd", F.col("key"), F.col("event_type"))
+    users = table(spark, d, "events").select("user_id").distinct()
+    popped = users.select((F.col("user_id") + F.lit(10**12)).alias("seq"), F.lit(0).cast("long").alias("at_ms"), F.lit("spop").alias("cmd"),
+                          F.array(F.col("user_id").cast("string").cast("binary"), F.lit(b"2")).alias("args"))
+    after = commands.run_commands(no_keys(spark), added.unionByName(popped))[0]
+    return after.select(F.decode("key", "UTF-8").alias("key"), F.size("items").cast("long").alias("n"))
+
+
 @query("commands_set_nx", "SELECT event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN '\"OK\"' ELSE 'null' END AS reply FROM events")
 def commands_set_nx(spark, d):
     ops = event_commands(spark, d, "SET", F.col("key"), F.col("event_type"), F.lit("NX"))

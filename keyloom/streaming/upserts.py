@@ -22,7 +22,7 @@ def running_snapshot(ops: DataFrame) -> DataFrame:
 
 
 def into_store(ops: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each micro-batch is one commit of the store."""
+    """Each micro-batch is one commit of the store; an operation that comes late, with a smaller seq, undoes nothing."""
 
     def commit(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
@@ -36,7 +36,7 @@ def first_put(ops: DataFrame, within: str) -> DataFrame:
     return ops.withWatermark("at", within).dropDuplicatesWithinWatermark([KEY])
 
 
-def read_modify_write(ops: DataFrame, update: Callable[[int | None, pd.Series], int], ttl_ms: int | None = None) -> DataFrame:
+def read_modify_write(ops: DataFrame, update: Callable[[int | None, dict], int], ttl_ms: int | None = None) -> DataFrame:
     """seq, key, reply: the value after each operation, by update(old or None, row) in the order of seq inside a
     micro-batch. With ttl_ms a key's value is forgotten when it wasn't touched for so long."""
 
@@ -47,7 +47,7 @@ def read_modify_write(ops: DataFrame, update: Callable[[int | None, pd.Series],
         value = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(SEQ)
         replies = []
-        for _, row in rows.iterrows():
+        for row in rows.to_dict("records"):
             value = update(value, row)
             replies.append(value)
         state.update((value,))

@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; all but the last keep the columns of documents.
 Between stages the rows are written as Parquet to the shared folder and read again, so a lost executor costs one stage
 at most.
+
+Defined cases of all stages: nulls in any column are kept as they are; a null text is clean, alone in its class, without
+passages and personal data, and has the end id only; an empty text likewise; very long texts are worked on whole; rows
+that repeat doc_id and text count once after the near-duplicate stage, if they have words or signs; rows of one doc_id
+with other texts are documents of their own; an empty table stays empty; further columns, whatever their names, are kept
+by all stages but the last. Of the documents of a class the one with the smallest doc_id stays.
 """
 
 from __future__ import annotations

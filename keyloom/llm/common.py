@@ -15,7 +15,7 @@ from keyloom.sources.shared import materialise, shared_dir
 __all__ = ["as_binary", "blocks", "delete_stored", "materialise", "read_table", "shared_dir", "stored", "text_rows", "words_of"]
 
 #: Bytes of text that one block of vectorised work holds; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Maps A-Z to a-z and every byte that no word holds to a space. Words are runs of 0-9, a-z and non-ASCII characters.
 WORD_TABLE = bytes(

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import blocks, read_table, stored, text_rows, words_of
+from keyloom.llm.common import blocks, map_batches, read_table, stored, text_rows, words_of
 
 WINDOW = 8
 #: Bytes of text in a segment.
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 names=["segment", "doc_ids", "text_md5", "starts", "n_words", "terms", "counts", "postings"],
             )
 
-    return text_rows(docs).mapInArrow(segments, SEGMENT_SCHEMA)
+    return map_batches(text_rows(docs), segments, SEGMENT_SCHEMA)
 
 
 class Question:
@@ -268,7 +268,7 @@ def exact_matches(index: DataFrame, items: list[tuple[object, list[bytes]]], siz
                 sizes = np.array([len(q) for q in queries], np.int64)[number] if len(number) else number
                 yield per_document(row, segment, [whose[asked[i]] for i in number.tolist()], start, start + sizes)
 
-    return index.mapInArrow(answer, DOC_SCHEMA)
+    return map_batches(index, answer, DOC_SCHEMA)
 
 
 def _near(index: DataFrame, phrases: list[tuple[str, list[bytes]]], slop: int, with_spans: bool = False) -> DataFrame:
@@ -302,7 +302,7 @@ def _near(index: DataFrame, phrases: list[tuple[str, list[bytes]]], slop: int, w
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(rows, kind)], names=[*out.schema.names, "spans"])
 
     more = ", spans array<struct<item_id: string, start: long, end: long>>" if with_spans else ""
-    return index.mapInArrow(answer, DOC_SCHEMA + more)
+    return map_batches(index, answer, DOC_SCHEMA + more)
 
 
 def proximity_matches(index: DataFrame, items: list[tuple[object, list[bytes]]], slop: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import as_binary, blocks, read_table, text_rows
+from keyloom.llm.common import as_binary, blocks, map_batches, read_table, text_rows
 
 ROWS_PER_LANGUAGE, LANGUAGES = 800, 1024
 ORDER = 3
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Trees:
     # LANGUAGES * rows pairs of an id and a language at most
     texts = known.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
     texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
-    got = texts.mapInArrow(_count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).orderBy("lang", "run").toArrow()
+    got = map_batches(texts, _count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).orderBy("lang", "run").toArrow()
     lang, run, n = np.array(got.column("lang").to_pylist()), got.column("run").to_numpy(), got.column("n").to_numpy()
     return Trees({x: (run[lang == x], n[lang == x]) for x in sorted(set(lang.tolist()))})
 
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
                         names[i], scores[i] = trees.languages[best[i]], share[i]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(text_rows(docs), run, "doc_id long, lang_pred string, score double")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm.common import blocks, read_table, text_rows, words_of
+from keyloom.llm.common import blocks, map_batches, read_table, text_rows, words_of
 from keyloom.llm.license_texts import FULL_TEXTS
 
 #: (label, phrase): their places are always found.
@@ -257,7 +257,7 @@ def scan_documents(docs: DataFrame, automaton: Automaton) -> DataFrame:
                 )
             yield pa.RecordBatch.from_pylist(rows, ARROW_SCHEMA)
 
-    return text_rows(docs).mapInArrow(run, SCHEMA)
+    return map_batches(text_rows(docs), run, SCHEMA)
 
 
 SCHEMA = (

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD_TABLE, blocks, delete_stored, read_table, stored, text_rows
+from keyloom.llm.common import WORD_TABLE, blocks, delete_stored, map_batches, read_table, stored, text_rows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -164,7 +164,7 @@ def learn_weights(docs: DataFrame, rare: int = RARE, size: int = SKETCH_SIZE) ->
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n])], names=["place", "n"])
 
     rows = docs.select(F.lit(0).alias("k"), F.col("text").cast("binary").alias("text"))
-    got = rows.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    got = map_batches(rows, count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, n = got.column("place").to_numpy(), got.column("n").to_numpy()
     n_docs = int(n[place < 0].sum())
     cells = np.zeros(size, np.int64)
@@ -189,7 +189,7 @@ def learn_weights(docs: DataFrame, rare: int = RARE, size: int = SKETCH_SIZE) ->
         if n_held:
             yield batch(*np.unique(np.concatenate(held), return_counts=True))
 
-    counted = rows.mapInArrow(pick, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    counted = map_batches(rows, pick, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     return Weights(counted.column("h").to_numpy().astype(np.int64).view(np.uint64), counted.column("n").to_numpy(), n_docs, rare)
 
 
@@ -266,7 +266,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 names=["doc_id", "key", "bands"],
             )
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return map_batches(text_rows(docs), run, "doc_id long, key binary, bands array<long>")
 
 
 def release(df: DataFrame) -> None:
@@ -309,7 +309,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component of edges (a, b). Alternating large and small stars over
     edges that every task has contracted by itself; each round is written to the shared folder in the place of the last
     one, and nothing but two numbers comes to the driver. Done when every node has one edge, to a node that has none."""
-    contracted = lambda df: stored(df.select("a", "b").mapInArrow(_contracted, "a binary, b binary"))
+    contracted = lambda df: stored(map_batches(df.select("a", "b"), _contracted, "a binary, b binary"))
     current = contracted(edges)
     while True:
         ends = current.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
@@ -409,7 +409,7 @@ def verified(groups: DataFrame, weights: Weights, threshold: float) -> DataFrame
         if len(keys) > 1:
             yield close()
 
-    return groups.mapInArrow(run, "a binary, b binary")
+    return map_batches(groups, run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm.common import blocks, read_table, text_rows
+from keyloom.llm.common import blocks, map_batches, read_table, text_rows
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 #: Segments that a worker remembers; it forgets all when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of the longest segment that is remembered.
 SHORT = 64
 
@@ -288,7 +288,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces, digests: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], names=["doc_id", *names])
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return text_rows(docs).mapInArrow(run, f"doc_id long, {schema}")
+    return map_batches(text_rows(docs), run, f"doc_id long, {schema}")
 
 
 def model_path() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import as_binary, blocks, read_table, stored, text_rows
+from keyloom.llm.common import as_binary, blocks, map_batches, read_table, stored, text_rows
 
 TRAINING_ROWS = 24_000
 #: Bytes of a word's beginning that may become entries.
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     """Lexicon from parts 0 and 1 of the labelled rows, logistic function from part 3."""
     training = stored(training_rows(docs, labels, rows).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     counted = (
-        training.where("part < 2").select("text", "toxic").mapInArrow(_count_entries, "entry binary, toxic long, clean long")
+        map_batches(training.where("part < 2").select("text", "toxic"), _count_entries, "entry binary, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= 3) | (F.col("entry") == F.lit(b"")))
     )
@@ -183,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
                 [batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "y"]
             )
 
-    fit = training.where("part = 3").select("doc_id", "text", "toxic").mapInArrow(measure, "doc_id long, x array<double>, y int")
+    fit = map_batches(training.where("part = 3").select("doc_id", "text", "toxic"), measure, "doc_id long, x array<double>, y int")
     got = sorted((r["doc_id"], tuple(r["x"]), r["y"]) for r in fit.collect())
     if not got or len({y for *_, y in got}) < 2:
         share = float(np.clip(np.mean([y for *_, y in got]), 1e-6, 1 - 1e-6)) if got else 1e-9
@@ -215,7 +215,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             found = model.scores(np.array([model.features(matcher, t) for t in texts]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found)], names=["doc_id", "score"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, score double")
+    return map_batches(text_rows(docs), run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,7 +230,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
                 found = model.scores(np.array([model.features(matcher, t) for t in texts]))
                 yield batch.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
